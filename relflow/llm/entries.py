@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module that holds a function of that name (and perhaps ORACLE)
 OPERATORS = {
+    "op9_best_fit_packing": "packing",
     "op10_quality_rules": "quality_rules",
     "op4_simhash_near_dedup": "simhash",
     "op7_exact_dedup": "exact_dedup",
