@@ -10,6 +10,7 @@ OPERATORS = {
     "op9_best_fit_packing": "packing",
     "op10_quality_rules": "quality_rules",
     "op4_simhash_near_dedup": "simhash",
+    "op5_warc": "warc",
     "op6_html_extraction": "html_text",
     "op7_exact_dedup": "exact_dedup",
 }
