@@ -7,6 +7,7 @@ import importlib
 #: query name -> module that holds a function of that name (and perhaps ORACLE)
 OPERATORS = {
     "op1_pii": "pii",
+    "op8_byte_bpe": "bpe",
     "op9_best_fit_packing": "packing",
     "op10_quality_rules": "quality_rules",
     "op4_simhash_near_dedup": "simhash",
