@@ -10,6 +10,8 @@ OPERATORS = {
     "op8_byte_bpe": "bpe",
     "op9_best_fit_packing": "packing",
     "op10_quality_rules": "quality_rules",
+    "op2_chat_formatting": "chat",
+    "op3_quality_classifier": "quality_model",
     "op4_simhash_near_dedup": "simhash",
     "op5_warc": "warc",
     "op6_html_extraction": "html_text",
