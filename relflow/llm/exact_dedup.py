@@ -35,6 +35,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store holds 4 MB or more of empty files
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a store costs memory only while its task runs
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
