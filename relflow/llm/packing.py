@@ -19,7 +19,9 @@ table gives no pieces; other columns never enter.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,32 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Kept(dict):
+    """A bounded cache of two generations: what the older one still serves moves to the younger."""
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.entries, self.older = entries, {}
+
+    def find(self, key: str):
+        got = self.get(key)
+        if got is None and (got := self.older.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
+#: Runs of these characters (ASCII, Latin-1 letters) lower-case one to one, have no other normal
+#: form, and fall into pieces by the vocabulary's own rule, which is fixed.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class Encoder:
     """Whole texts to ids, a batch at a time; equal to the tokenizer run on each text."""
 
@@ -54,7 +82,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.runs, self.pieces = _Kept(_CACHE_ENTRIES), _Kept(_CACHE_ENTRIES)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -62,17 +91,32 @@ class Encoder:
             cls._kept = {path: cls(path)}
         return cls._kept[path]
 
-    def _ids(self, runs: list[str]) -> list[np.ndarray]:
-        cache = self.cache
-        new = [r for r in runs if r not in cache]
-        if len(cache) + len(new) > _CACHE_ENTRIES:
-            cache.clear()
-            new = runs
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for run, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[run] = np.array(got.ids, np.uint32)
-        out = [cache[r] for r in runs]
+    def _split(self, run: str) -> list[str]:
+        if not _PLAIN.fullmatch(run) or "<|" in run and any(t in run for t in self.special):
+            return [run]
+        return _PIECE.findall(run.lower())
+
+    def _ids(self, runs: list[str]) -> list[bytes]:
+        out = [self.runs.find(r) for r in runs]
+        new = [i for i, x in enumerate(out) if x is None]
+        cut_up = [self._split(runs[i]) for i in new]
+        have: dict[str, bytes] = {}
+        want = {}
+        for p in (p for parts in cut_up for p in parts):
+            if p not in have and p not in want:
+                if (got := self.pieces.find(p)) is None:
+                    want[p] = None
+                else:
+                    have[p] = got
+        want = list(want)
+        for at in range(0, len(want), 20_000):
+            part = want[at : at + 20_000]
+            for p, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                have[p] = array("I", got.ids).tobytes()
+                self.pieces.put(p, have[p])
+        for i, parts in zip(new, cut_up, strict=True):
+            out[i] = have[parts[0]] if len(parts) == 1 else b"".join([have[p] for p in parts])
+            self.runs.put(runs[i], out[i])
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +130,9 @@ class Encoder:
         coded = flat.dictionary_encode()
         place = coded.indices.to_numpy(zero_copy_only=False)
         ids = self._ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = np.cumsum(sizes) - sizes
-        pool = np.concatenate(ids)
+        pool = np.frombuffer(b"".join(ids), np.uint32)
         n = sizes[place]
         ends = np.cumsum(n)
         total = int(ends[-1])
