@@ -193,7 +193,7 @@ def annotate(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotate(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *SIGNALS, "base_failed", "kept", "rejected_by")
+    return annotate(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *SIGNALS, "base_failed", "kept")
 
 
 #: The same rules and thresholds in SQL, counting windows with a join-free window function.
