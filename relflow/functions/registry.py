@@ -60,4 +60,6 @@ class Registry:
         df = self.sources[key](spark)
         if len(df.columns) != len(types):
             raise AnalysisFault(f"source {key!r} makes {len(df.columns)} columns, {len(types)} are declared")
-        return df.select(*[df[c].cast(SPARK_TYPE[t]).alias(f"{relation}_{i}") for i, (c, t) in enumerate(zip(df.columns, types, strict=True))])
+        names = [f"{relation}_{i}" for i in range(len(types))]
+        df = df.toDF(*names)
+        return df.select(*[df[c].cast(SPARK_TYPE[t]).alias(c) for c, t in zip(names, types, strict=True)])
