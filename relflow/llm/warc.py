@@ -36,6 +36,8 @@ from .common import cut, remove, scratch, table, text_of
 SALTS = 16
 ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES = 32 << 20
+#: Reading tasks at most; beyond it a task reads several ranges one after another.
+MAX_TASKS = 100_000
 LEVEL = 4
 _MAGIC = b"\x1f\x8b\x08"
 _BUFFER = 1 << 20
@@ -233,7 +235,8 @@ def decode(data: bytes) -> dict:
 def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
     """All records of the manifest's archives; payload is null for revisits (and without ``payloads``)."""
     ranges = manifest.filter("bytes > 0").select("archive", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.xxhash64("archive", "start"))
+    # a fixed number: sized by bytes of ranges rather than of this slim table, which would go to one task
+    ranges = ranges.repartition(max(1, min(ranges.count(), MAX_TASKS)), "archive", "start")
 
     def run(batches):
         from relflow.llm.warc import _fs, decode, records_from
