@@ -1,25 +1,25 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 1. Blocks: a task splits its texts into pre-tokens and numbers the distinct ones of a block of
-   bounded bytes.  A block row holds, per document, the word numbers in order of position (the
-   exploded pre-tokens, kept columnar); its words go to a second table of (block, number, word).
-2. The words of all blocks are made distinct by one shuffle and each is encoded once.
-3. Ids join back to the (block, number) rows by word and are put together per block, both bounded
-   by the block's bytes; a word occurs at most once per block, so no word is hot.
+   bounded bytes.  The exploded pre-tokens stay columnar: one row per block holds, per document,
+   the word numbers in order of position; one row per distinct word asks for its ids.
+2. One shuffle brings each word's rows together, in order; each distinct word is encoded once.
+3. Ids go back to their blocks by a second shuffle and are put in order of number.  A word
+   occurs at most once per block, so no word is hot, and a block's rows are bounded by its bytes.
 4. Documents are reassembled by position: ids of word number w at each position.
+Both kinds of rows go through the same two shuffles, so the texts are read and split once.
 Decoding joins ids with the token-byte table (one row per id of the fixed vocabulary, so its size
 is bounded by the vocabulary file) and puts the bytes end to end.
 
-Defined results: null and empty texts have no tokens; a text with unpaired surrogates cannot
-occur in UTF-8 columns; repeated rows and ids are encoded as rows of their own; an empty table
-gives none; other columns never enter.
+Defined results: null and empty texts have no tokens; repeated rows and ids are encoded as rows
+of their own; an empty table gives none; other columns never enter.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table, text_of
-from .packing import spans
+from .common import table, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -97,30 +96,106 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p is not None]
 
 
+#: Texts of these characters only are split by the JVM: their letters, numbers and white space are
+#: the same in every Unicode version.  All others are split by the pattern as it stands.
+_STABLE = r"^[\x00-\u024F]*$"
+_SPACES = r"\t-\r\x20\x85\xa0"
+_JAVA = rf"'s|'t|'re|'ve|'m|'ll|'d|\x20?\p{{L}}+|\x20?\p{{N}}+|\x20?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+
+
+def _planes(places: np.ndarray) -> bytes:
+    """Numbers as four planes of bytes, which compress better than the numbers."""
+    return np.ascontiguousarray(places.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _seal(ids: pa.Array, sizes: np.ndarray, places: np.ndarray) -> bytes:
+    raw = pickle.dumps((ids, sizes.astype("<i4").tobytes(), _planes(places)))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unseal(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    raw = pa.decompress(memoryview(data)[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    ids, sizes, planes = pickle.loads(raw)
+    return ids, np.frombuffer(sizes, "<i4"), _unplanes(planes)
+
+
 def blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, words (distinct, in order of number), ids (documents), places (word numbers), sizes (pre-tokens of each document)."""
-    kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("ids", T.ArrayType(kind)), T.StructField("places", T.BinaryType()), T.StructField("sizes", T.ArrayType(T.IntegerType()))])
+    """Two kinds of rows: (block, number, word) for each distinct word of a block, the commonest
+    first, and (block, -1, null, payload) with the block's documents and their words' numbers by position.
+    """
+    t = text_of(text)
+    plain = t.rlike(_STABLE)
+    rows = docs.select(F.col(key).alias("doc_id"), F.when(plain, F.regexp_extract_all(t, F.lit(_JAVA), F.lit(0))).alias("words"), F.when(~plain, t).alias("text"), F.octet_length(t).alias("size"))
 
     def run(batches):
+        import secrets
+
         import public_tokenizers
         import regex
 
+        from relflow.llm.bpe import _seal
+
         split = regex.compile(public_tokenizers.PATTERN).findall
         for batch in batches:
-            for lo, hi in spans(batch.column(1), block_bytes):
-                number: dict[str, int] = {}
-                places, sizes = [], []
-                for t in batch.column(1)[lo:hi]:
-                    found = split(t.as_py())
-                    own = np.empty(len(found), np.int32)
-                    own[:] = [number.setdefault(w, len(number)) for w in found]
-                    places.append(own)
-                    sizes.append(len(found))
-                row = [uuid.uuid4().hex, list(number), batch.column(0)[lo:hi].to_pylist(), np.concatenate(places).astype("<i4").tobytes(), sizes]
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _arrow(schema), strict=True)], names=schema.names)
+            for lo, hi in runs_of(batch.column("size").to_numpy(zero_copy_only=False), block_bytes):
+                words, others = batch.column("words").slice(lo, hi - lo), batch.column("text").slice(lo, hi - lo)
+                if others.null_count < len(others):
+                    words = pa.array([w if t is None else split(t) for w, t in zip(words.to_pylist(), others.to_pylist(), strict=True)], pa.list_(pa.string()))
+                coded = words.flatten().dictionary_encode()
+                places = coded.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(-np.bincount(places, minlength=len(coded.dictionary)), kind="stable")
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order), dtype=np.int32)
+                block = secrets.randbits(62)
+                sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+                one = [pa.array([block]), pa.array([-1], pa.int32()), pa.array([None], pa.string()), pa.array([_seal(batch.column("doc_id").slice(lo, hi - lo), sizes, rank[places])])]
+                yield pa.RecordBatch.from_arrays(one, names=_BLOCK)
+                listed = coded.dictionary.take(pa.array(order)).cast(pa.string())
+                n = len(listed)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), listed, pa.nulls(n, pa.binary())], names=_BLOCK)
+
+    return rows.mapInArrow(run, "block long, number int, word string, payload binary")
+
+
+_BLOCK = ["block", "number", "word", "payload"]
+
+
+def runs_of(sizes: np.ndarray, most: int):
+    """Row ranges of about ``most`` bytes."""
+    lo, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+class Pieces:
+    """The ids of single pre-tokens: the tiktoken library's merges where it is installed, else ``merge``."""
+
+    _kept: dict = {}
+
+    def __init__(self, path: str):
+        ranks = load_ranks(path)
+        self.top = max(ranks.values())
+        try:
+            import tiktoken
+
+            self.ids = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        except (ImportError, AttributeError):
+            self.ids = lambda word: merge(word, ranks)
 
-    return cut(docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, schema), "blocks")
+    @classmethod
+    def of(cls, path: str) -> Pieces:
+        if path not in cls._kept:
+            cls._kept = {path: cls(path)}
+        return cls._kept[path]
 
 
 def _arrow(schema: T.StructType):
@@ -129,56 +204,76 @@ def _arrow(schema: T.StructType):
     return list(to_arrow_schema(schema))
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """word, tokens: each distinct word encoded once."""
+def encode_words(rows: DataFrame, path: str) -> DataFrame:
+    """Words in order: each distinct one is encoded once and answers all its blocks; payloads pass by.
+
+    A word has at most one row per block, so no word is hot.
+    """
+    dealt = rows.repartition(F.coalesce(F.xxhash64("word"), F.col("block"))).sortWithinPartitions("word")
 
     def run(batches):
-        from relflow.llm.bpe import load_ranks, merge
+        from relflow.llm.bpe import Pieces
 
-        ranks = load_ranks(path)
+        pieces = Pieces.of(path)
+        kind = "<u2" if pieces.top < 1 << 16 else "<u4"
+        last, last_ids = None, None
         for batch in batches:
-            got = [merge(w.encode(), ranks) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int32()))], names=["word", "tokens"])
+            coded = batch.column("word").dictionary_encode()
+            got = []
+            for word in coded.dictionary.to_pylist():
+                if word != last:
+                    last, last_ids = word, np.array(pieces.ids(word.encode()), kind).tobytes()
+                got.append(last_ids)
+            answers = pa.array(got, pa.binary()).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), pc.coalesce(answers, batch.column("payload"))], names=["block", "number", "payload"])
 
-    return words.select("word").distinct().mapInArrow(run, "word string, tokens array<int>")
+    return dealt.mapInArrow(run, "block long, number int, payload binary")
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, tokens (array<int>): every text's ids."""
     path = path or vocabulary_path()
-    kind = docs.schema[key].dataType
-    cutted = blocks(docs, key, text, block_bytes)
-    requests = cutted.select("block", F.posexplode("words").alias("number", "word"))
-    known = encode_words(requests, path)
-    # one sorted stream per block: its words' ids by number, then its documents
-    answers = requests.join(known, "word").select("block", F.lit(0).alias("side"), "number", "tokens", F.lit(None).cast(f"array<{kind.simpleString()}>").alias("ids"), F.lit(None).cast("binary").alias("places"), F.lit(None).cast("array<int>").alias("sizes"))
-    owners = cutted.select("block", F.lit(1).alias("side"), F.lit(0).alias("number"), F.array().cast("array<int>").alias("tokens"), "ids", "places", "sizes")
-    stream = answers.unionByName(owners).repartition("block").sortWithinPartitions("block", "side", "number")
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+    # a sorted stream per block: its documents, then its words' ids by number
+    stream = encode_words(blocks(docs, key, text, block_bytes), path).repartition("block").sortWithinPartitions("block", "number")
 
     def run(batches):
-        from relflow.llm.bpe import reassemble
+        from relflow.llm.bpe import Pieces, _unseal, reassemble
 
-        held = []
+        kind = "<u2" if Pieces.of(path).top < 1 << 16 else "<u4"
+        sealed, held = None, []
         for batch in batches:
-            side = batch.column("side").to_numpy()
-            lo = 0
-            for at in np.flatnonzero(side == 1).tolist():
-                held.append(batch.column("tokens").slice(lo, at - lo))
-                yield from reassemble(held, batch.column("ids")[at].values, batch.column("places")[at].as_buffer(), batch.column("sizes")[at].values)
-                held, lo = [], at + 1
-            if lo < batch.num_rows:
-                held.append(batch.column("tokens").slice(lo))
+            number, lo = batch.column("number").to_numpy(), 0
+            for at in [*np.flatnonzero(number == -1).tolist(), batch.num_rows]:
+                if at > lo:
+                    held.append(batch.column("payload").slice(lo, at - lo))
+                if at < batch.num_rows:
+                    if sealed is not None:
+                        yield from reassemble(held, *_unseal(sealed), kind)
+                    sealed, held = batch.column("payload")[at].as_py(), []
+                lo = at + 1
+        if sealed is not None:
+            yield from reassemble(held, *_unseal(sealed), kind)
 
     return stream.mapInArrow(run, schema)
 
 
-def reassemble(tables: list, ids: pa.Array, places, counts: pa.Array, step_tokens: int = 400_000):
+def _parts(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each answer, and all their ids."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.diff(offsets).astype(np.int64) // width, np.frombuffer(raw.tobytes(), kind)
+
+
+def reassemble(answers: list, ids: pa.Array, counts: np.ndarray, places: np.ndarray, kind: str, step_tokens: int = 400_000):
     """The documents of one block: ids of the word at each position, end to end."""
-    counts = counts.to_numpy(zero_copy_only=False).astype(np.int64)
-    places = np.frombuffer(places, "<i4") if places is not None and places.size else np.zeros(0, np.int32)
-    size = np.concatenate([pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64) for t in tables] or [np.zeros(0, np.int64)])
-    pool = np.concatenate([t.flatten().to_numpy(zero_copy_only=False) for t in tables] or [np.zeros(0, np.int32)])
+    parts = [_parts(a, kind) for a in answers]
+    size = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)])
+    pool = np.concatenate([p[1] for p in parts] or [np.zeros(0, kind)])
+    if len(places) and int(places.max()) >= len(size):
+        raise ValueError("a block has words without an answer")
     begin = np.cumsum(size) - size
     n = size[places]
     ends = np.concatenate([[0], np.cumsum(n)])
@@ -223,8 +318,8 @@ def decode(encoded: DataFrame, path: str | None = None, digest_only: bool = Fals
             rows = []
             for tokens in batch.column(1):
                 ids = tokens.values
-                joined = column.take(ids)
-                data = b"".join(joined.to_pylist())
+                joined = column.take(ids)  # its value buffer is the bytes end to end
+                data = joined.buffers()[2].to_pybytes() if len(ids) else b""
                 rows.append((len(ids), hashlib.sha256(ids.to_numpy(zero_copy_only=False).astype("<u4").tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()) if digest_only else (data,))
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, _arrow(schema)[1:], strict=True))], names=schema.names)

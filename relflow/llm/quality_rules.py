@@ -67,7 +67,7 @@ def repeat_words(ws: Column) -> Column:
 
     def covered(at: Column) -> Column:
         # places ascend; each window adds the words up to the next window's start, three at most
-        nxt = F.concat(F.slice(at, 2, F.size(at)), F.array(F.lit(2**62)))
+        nxt = F.slice(F.concat(F.slice(at, 2, F.size(at)), F.array(F.lit(2**62))), 1, F.size(at))
         return F.aggregate(F.zip_with(at, nxt, lambda a, b: F.least(b - a, F.lit(3).cast("long"))), zero, lambda s, x: s + x)
 
     def by_pairs(hs: Column) -> Column:
