@@ -120,7 +120,7 @@ def _fits(kind: int, v: Column) -> Column:
     n = _digits(v)
     letters = v.rlike("[A-Za-z]")
     return (
-        v.rlike(r"^[^@\s]+@[^@\s]+$"),
+        v.rlike(r"^[^@\s]*[A-Za-z][^@\s]*@[^@\s]*[A-Za-z][^@\s]*$"),
         ~letters & v.rlike(r"^[0-9]+[.:][0-9]+[.:][0-9]+[.:][0-9]+$"),
         ~letters & n.between(12, 19) & v.rlike(r"^[0-9][0-9 .-]+$"),
         ~letters & n.between(7, 15) & v.rlike(r"^[0-9(+][0-9 ().-]+$"),

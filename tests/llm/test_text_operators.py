@@ -53,7 +53,7 @@ def test_quality_sort_of_pairs_agrees(spark, monkeypatch):
 
 
 def test_quality_cascade_and_clashing_columns(spark):
-    clean = "\n".join(f"This is the clean line number {i} with words {i * 7} of its own kind" for i in range(20))
+    clean = "\n".join(" ".join(f"{chr(97 + i)}{chr(97 + j)}ord{chr(97 + i * j % 26)}" for j in range(10)) for i in range(20))
     texts = [clean, clean.upper() + " AND MORE", " | ".join(clean.split()), None, clean.replace(" ", "!! ")]
     df = frame(spark, texts).withColumn("kept", F.lit("other")).withColumn("n_words", F.lit(-1))
     out = quality_rules.keep(df)
