@@ -20,6 +20,7 @@ columns never enter, whatever their names.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,35 +51,38 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def arrivals(docs: DataFrame, digest: Callable[[Column], Column] = sha256, key: str = "doc_id", text: str = "text") -> DataFrame:
-    t = text_of(text)
+def arrivals(docs: DataFrame, folder: str, digest: Callable[[Column], Column] = sha256, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add the documents' slim rows to the folder that the stream reads; the rows of this run."""
+    t, run = text_of(text), time.time_ns()
     slim = docs.select(
+        F.lit(run).alias("run"),  # tells the arrivals of later runs on the same state apart
         F.monotonically_increasing_id().alias("arrival"),
         F.col(key).alias("doc_id"),
         digest(normalised(t)).alias("digest"),
         F.length(t).alias("points"),
         F.input_file_name().alias("locator"),
     )
-    return cut(slim, "arrivals")
+    slim.write.mode("append").parquet(folder)
+    return docs.sparkSession.read.schema(slim.schema).parquet(folder).filter(F.col("run") == run)
 
 
 def _best() -> Column:
-    return F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("doc_id"), F.col("arrival").alias("arrival"), F.col("locator").alias("locator")))
+    return F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("doc_id"), F.col("run").alias("run"), F.col("arrival").alias("arrival"), F.col("locator").alias("locator")))
 
 
-def run_state(arrived: DataFrame, checkpoint: str, files_per_batch: int = 64) -> DataFrame:
-    """Feed the arrivals' files through the keyed state; (digest, best, n) of everything seen so far."""
+def run_state(arrived: DataFrame, folder: str, checkpoint: str, files_per_batch: int = 64) -> DataFrame:
+    """Feed the folder's new files through the keyed state; (digest, best, n) of everything seen so far."""
     spark = arrived.sparkSession
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrived._relflow_path)
+        stream = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
         state = stream.groupBy("digest").agg(_best().alias("best"), F.count(F.lit(1)).alias("n"))
         query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         if query.lastProgress is None and not _has_state(spark, checkpoint):
-            return spark.createDataFrame([], "digest string, best struct<less:int,void:boolean,doc_id:bigint,arrival:bigint,locator:string>, n bigint")
+            return spark.createDataFrame([], "digest string, best struct<less:int,void:boolean,doc_id:bigint,run:bigint,arrival:bigint,locator:string>, n bigint")
         kept = spark.read.format("statestore").load(checkpoint)
         values = kept.schema["value"].dataType.names
         return kept.select(F.col("key")[kept.schema["key"].dataType.names[0]].alias("digest"), F.col("value")[values[0]].alias("best"), F.col("value")[values[1]].alias("n"))
@@ -98,7 +102,7 @@ def _decide(arrived: DataFrame, groups: DataFrame) -> DataFrame:
     limit = max(total // HOT_SHARE, 1_000)
     hot = F.broadcast(groups.filter(F.col("n") > limit).select(F.col("digest"), F.col("best").alias("hot_best"), F.col("n").alias("hot_n")))  # at most HOT_SHARE rows
     tagged = arrived.join(hot, "digest", "left")
-    fields = ["arrival", "doc_id", "digest", "points"]
+    fields = ["run", "arrival", "doc_id", "digest", "points"]
     a = tagged.filter(F.col("hot_n").isNotNull()).select(*fields, F.col("hot_best").alias("best"), F.col("hot_n").alias("n"))
     b = tagged.filter(F.col("hot_n").isNull()).select(*fields).join(groups, "digest").select(*fields, "best", "n")
     return a.unionByName(b)
@@ -116,23 +120,26 @@ def _false_hits(docs: DataFrame, decided: DataFrame, digest, key: str, text: str
 def _regroup(docs: DataFrame, decided: DataFrame, false_hits: DataFrame, digest, key: str, text: str) -> DataFrame:
     """The arrivals of shared digests, grouped by their texts."""
     t = normalised(text_of(text))
-    rows = decided.join(false_hits, "digest").select("arrival", "doc_id", "digest", "points", F.lit("").alias("locator"))
+    rows = decided.join(false_hits, "digest").select("run", "arrival", "doc_id", "digest", "points", F.lit("").alias("locator"))
     texts = docs.select(F.col(key).alias("t_id"), t.alias("t"), F.length(text_of(text)).alias("t_points")).distinct().withColumn("t_digest", digest(F.col("t")))
     texts = texts.join(false_hits, F.col("t_digest") == F.col("digest"), "left_semi")
     rows = rows.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("digest") == F.col("t_digest")) & (F.col("points") == F.col("t_points")))
     per_text = rows.groupBy(F.col("t").alias("g")).agg(_best().alias("best"), F.count(F.lit(1)).alias("n"))
-    return rows.join(per_text, F.col("t") == F.col("g")).select("arrival", "doc_id", sha256(F.col("t")).alias("digest"), "points", "best", "n")
+    return rows.join(per_text, F.col("t") == F.col("g")).select("run", "arrival", "doc_id", sha256(F.col("t")).alias("digest"), "points", "best", "n")
 
 
 def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, checkpoint: str | None = None, files_per_batch: int = 64) -> DataFrame:
-    """arrival, doc_id, digest, points, best, n: one row per document."""
+    """run, arrival, doc_id, digest, points, best, n: one row per document of this run.
+
+    With ``checkpoint`` the state of earlier runs on that folder counts: n and best cover them too.
+    (Whole texts are compared within a run; those of earlier runs are behind their locators.)
+    """
     spark = docs.sparkSession
-    arrived = arrivals(docs, digest, key, text)
-    own = checkpoint is None
-    state_dir = checkpoint or scratch(spark, "state")
-    groups = cut(run_state(arrived, state_dir, files_per_batch), "groups")
-    if own:
-        remove(spark, state_dir)
+    root = checkpoint or scratch(spark, "state")
+    arrived = arrivals(docs, f"{root}/arrivals", digest, key, text)
+    groups = cut(run_state(arrived, f"{root}/arrivals", f"{root}/progress", files_per_batch), "groups")
+    if checkpoint is None:
+        remove(spark, f"{root}/progress")
     decided = _decide(arrived, groups)
     false_hits = cut(_false_hits(docs, decided, digest, key, text), "hits")
     if false_hits.isEmpty():
@@ -141,11 +148,15 @@ def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", digest:
     return sound.unionByName(_regroup(docs, decided, false_hits, digest, key, text))
 
 
+def stays() -> Column:
+    """Whether a row of ``decisions`` is its group's best."""
+    return (F.col("run") == F.col("best.run")) & (F.col("arrival") == F.col("best.arrival"))
+
+
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of equal texts, columns unchanged."""
     decided = decisions(docs, key, text)
-    stays = decided.filter(F.col("arrival") == F.col("best.arrival"))
-    stay = stays.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("points").alias("__p"))
+    stay = decided.filter(stays()).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("points").alias("__p"))
     tagged = docs.withColumns({"__digest": sha256(normalised(text_of(text))), "__points": F.length(text_of(text))})
     same = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d")) & (F.col("__points") == F.col("__p"))
     left = tagged.join(stay, same, "left_semi")
@@ -161,7 +172,7 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decisions(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("arrival") == F.col("best.arrival")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return d.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), stays().alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 ORACLE = r"""

@@ -15,8 +15,8 @@ TEXT = "CREATE RELATION e WITH COLUMNS (INTEGER, DOUBLE, STRING), AGG [e_1, +] F
 def test_text_in_and_out(spark, tmp_path):
     (tmp_path / "in" / "e").mkdir(parents=True)
     (tmp_path / "in" / "e" / "part").write_text("1 2.5 a\n2 0.5 a\n3 1.0 b\n")
-    (tmp_path / "w.rap").write_text(TEXT)
-    assert cli.main(["run", str(tmp_path / "w.rap"), "--input-dir", str(tmp_path / "in"), "--output-dir", str(tmp_path / "out")]) == 0
+    (tmp_path / "w.flow").write_text(TEXT)
+    assert cli.main(["run", str(tmp_path / "w.flow"), "--input-dir", str(tmp_path / "in"), "--output-dir", str(tmp_path / "out")]) == 0
     lines = sorted(line for p in (tmp_path / "out" / "t").glob("part-*") for line in p.read_text().splitlines())
     assert lines == ["a 3.0", "b 1.0"]
     assert Workflow(TEXT).save(Catalog(spark, str(tmp_path / "in")), str(tmp_path / "pq"), "parquet") == ["t"]
@@ -24,10 +24,10 @@ def test_text_in_and_out(spark, tmp_path):
 
 
 def test_explain_command(tmp_path, capsys):
-    (tmp_path / "w.rap").write_text(TEXT)
-    cli.main(["explain", str(tmp_path / "w.rap")])
+    (tmp_path / "w.flow").write_text(TEXT)
+    cli.main(["explain", str(tmp_path / "w.flow")])
     assert "AGG + t (STRING, DOUBLE)" in capsys.readouterr().out
-    cli.main(["explain", "--dot", str(tmp_path / "w.rap")])
+    cli.main(["explain", "--dot", str(tmp_path / "w.flow")])
     assert "digraph" in capsys.readouterr().out
 
 
