@@ -29,14 +29,6 @@ SAMPLE_ROWS = 500
 SAMPLE_POINTS = 50_000
 
 
-def n_words(t: Column) -> Column:
-    return F.size(words(t)).cast("long")
-
-
-def word_chars(t: Column) -> Column:
-    return F.length(F.array_join(words(t), "")).cast("long")
-
-
 def n_symbols(t: Column) -> Column:
     return (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("long")
 
@@ -101,21 +93,21 @@ def repeat_words(ws: Column) -> Column:
     return F.when(F.size(ws) < 4, zero).otherwise(bind(ws, of))
 
 
-def n_repeat_words(t: Column) -> Column:
-    return repeat_words(words(t))
-
-
-_MAKE = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
+#: Signals of the words (an array that is split once) and of the text.
+_OF_WORDS = {"n_words": lambda w: F.size(w).cast("long"), "word_chars": lambda w: F.length(F.array_join(w, "")).cast("long"), "n_repeat_words": repeat_words}
+_OF_TEXT = {"n_symbols": n_symbols, "n_dup_lines": n_dup_lines}
 
 
 class Signals:
-    """Signal name -> column: already computed ones by reference, others from the text."""
+    """Signal name -> column: those already computed by reference, others from the words or the text."""
 
-    def __init__(self, text: Column, ready: tuple[str, ...] = ()):
-        self.text, self.ready = text, ready
+    def __init__(self, text: Column, words: Column | None = None):
+        self.text, self.words = text, words
 
     def __getitem__(self, name: str) -> Column:
-        return F.col(f"__{name}") if name in self.ready else _MAKE[name](self.text)
+        if self.words is None:
+            return F.col(f"__{name}")
+        return _OF_WORDS[name](self.words) if name in _OF_WORDS else _OF_TEXT[name](self.text)
 
 
 @dataclass(frozen=True)
@@ -155,7 +147,7 @@ def plan_cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "
         found = []
         for rule in rules:
             began = time.perf_counter()
-            n = sample.filter(rule.rejects(Signals(F.col("__t")))).count()
+            n = sample.filter(_verdict([rule], F.col("__t")).isNotNull()).count()
             found.append((rule, time.perf_counter() - began, n / total))
     finally:
         sample.unpersist()
@@ -170,10 +162,15 @@ def _first_hit(order: list[Rule], signals: Signals) -> Column:
     return hit
 
 
+def _verdict(order: list[Rule], text: Column) -> Column:
+    """The first rule that rejects the text; the words are split once, each rule runs only if it is reached."""
+    return bind(words(text), lambda w: _first_hit(order, Signals(text, w)))
+
+
 def keep(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, columns unchanged; each stops at its first failing rule."""
     order = [r for r, _, _ in plan_cascade(docs, rules, text)]
-    return docs.filter(_first_hit(order, Signals(text_of(text))).isNull())
+    return docs.filter(_verdict(order, text_of(text)).isNull())
 
 
 def annotate(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
@@ -181,11 +178,10 @@ def annotate(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text
     rules = rules or default_rules()
     order = [r for r, _, _ in plan_cascade(docs, rules, text)]
     t = text_of(text)
-    # the words are split once: the signals below read the array
-    df = docs.withColumns({"__n_symbols": n_symbols(t), "__n_dup_lines": n_dup_lines(t)})
-    packed = bind(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), repeat_words(w).alias("r")))
-    df = df.withColumn("__w", packed).withColumns({"__n_words": F.col("__w.n"), "__word_chars": F.col("__w.c"), "__n_repeat_words": F.col("__w.r")}).drop("__w")
-    signals = Signals(t, SIGNALS)
+    df = docs.withColumns({f"__{name}": of(t) for name, of in _OF_TEXT.items()})
+    packed = bind(words(t), lambda w: F.struct(*[of(w).alias(name) for name, of in _OF_WORDS.items()]))
+    df = df.withColumn("__w", packed).withColumns({f"__{name}": F.col(f"__w.{name}") for name in _OF_WORDS}).drop("__w")
+    signals = Signals(t)
     base = F.lit(False)
     for rule in rules:
         if rule.base:
