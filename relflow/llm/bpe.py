@@ -2,8 +2,8 @@
 
 1. Blocks: a task splits its texts into pre-tokens and numbers the distinct ones of a block of
    bounded bytes.  The exploded pre-tokens stay columnar: one row per block holds, per document,
-   the word numbers in order of position; one row per distinct word asks for its ids.
-2. One shuffle brings each word's rows together, in order; each distinct word is encoded once.
+   the word numbers in order of position; one row per hash bucket holds its distinct words.
+2. One shuffle brings each bucket's rows together; each distinct word is encoded once.
 3. Ids go back to their blocks by a second shuffle and are put in order of number.  A word
    occurs at most once per block, so no word is hot, and a block's rows are bounded by its bytes.
 4. Documents are reassembled by position: ids of word number w at each position.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import pickle
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -103,29 +104,27 @@ _SPACES = r"\t-\r\x20\x85\xa0"
 _JAVA = rf"'s|'t|'re|'ve|'m|'ll|'d|\x20?\p{{L}}+|\x20?\p{{N}}+|\x20?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 
 
-def _planes(places: np.ndarray) -> bytes:
-    """Numbers as four planes of bytes, which compress better than the numbers."""
-    return np.ascontiguousarray(places.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes, which compress better than the numbers."""
+    return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def _seal(ids: pa.Array, sizes: np.ndarray, places: np.ndarray) -> bytes:
-    raw = pickle.dumps((ids, sizes.astype("<i4").tobytes(), _planes(places)))
+def _seal(*parts) -> bytes:
+    raw = pickle.dumps(parts)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unseal(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    raw = pa.decompress(memoryview(data)[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    ids, sizes, planes = pickle.loads(raw)
-    return ids, np.frombuffer(sizes, "<i4"), _unplanes(planes)
+def _unseal(data: bytes) -> tuple:
+    return pickle.loads(pa.decompress(memoryview(data)[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
 
 
-def blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Two kinds of rows: (block, number, word) for each distinct word of a block, the commonest
-    first, and (block, -1, null, payload) with the block's documents and their words' numbers by position.
+def blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES, buckets: int = 64) -> DataFrame:
+    """Two kinds of rows: (block, bucket, the block's distinct words of that hash bucket), and (block, -1,
+    its documents, their words' numbers by position and each number's bucket).  The commonest word is number 0.
     """
     t = text_of(text)
     plain = t.rlike(_STABLE)
@@ -137,7 +136,7 @@ def blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES)
         import public_tokenizers
         import regex
 
-        from relflow.llm.bpe import _seal
+        from relflow.llm.bpe import _flat, _planes, _seal
 
         split = regex.compile(public_tokenizers.PATTERN).findall
         for batch in batches:
@@ -152,16 +151,32 @@ def blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES)
                 rank[order] = np.arange(len(order), dtype=np.int32)
                 block = secrets.randbits(62)
                 sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-                one = [pa.array([block]), pa.array([-1], pa.int32()), pa.array([None], pa.string()), pa.array([_seal(batch.column("doc_id").slice(lo, hi - lo), sizes, rank[places])])]
-                yield pa.RecordBatch.from_arrays(one, names=_BLOCK)
                 listed = coded.dictionary.take(pa.array(order)).cast(pa.string())
-                n = len(listed)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), listed, pa.nulls(n, pa.binary())], names=_BLOCK)
+                home = np.fromiter((zlib.crc32(w.encode()) % buckets for w in listed.to_pylist()), np.int32, len(listed))
+                out = [_seal(batch.column("doc_id").slice(lo, hi - lo), sizes.astype("<i4").tobytes(), _planes(rank[places]), _planes(home))]
+                there, starts = np.unique(np.sort(home), return_index=True)
+                dealt = listed.take(pa.array(np.argsort(home, kind="stable")))
+                bounds = [*starts.tolist(), len(dealt)]
+                for at, end in zip(bounds, bounds[1:], strict=False):
+                    out.append(_seal(*_flat(dealt.slice(at, end - at))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), block)), pa.array(np.concatenate([[-1], there]).astype(np.int32)), pa.array(out, pa.binary())], names=_BLOCK)
 
-    return rows.mapInArrow(run, "block long, number int, word string, payload binary")
+    return rows.mapInArrow(run, "block long, bucket int, payload binary")
 
 
-_BLOCK = ["block", "number", "word", "payload"]
+def _flat(strings: pa.Array) -> tuple[bytes, bytes]:
+    """Lengths and bytes of strings."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    data = strings.buffers()[2]
+    return _planes(np.diff(offsets)), data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if data is not None and data.size else b""
+
+
+def _strings(sizes: bytes, data: bytes) -> list[str]:
+    ends = np.concatenate([[0], np.cumsum(_unplanes(sizes))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)).to_pylist()
+
+
+_BLOCK = ["block", "bucket", "payload"]
 
 
 def runs_of(sizes: np.ndarray, most: int):
@@ -205,76 +220,74 @@ def _arrow(schema: T.StructType):
 
 
 def encode_words(rows: DataFrame, path: str) -> DataFrame:
-    """Words in order: each distinct one is encoded once and answers all its blocks; payloads pass by.
-
-    A word has at most one row per block, so no word is hot.
+    """A bucket's rows together: each distinct word is encoded once (again only after 10^6 others) and
+    answers all its blocks.  A word comes at most once per block, so no word is hot; documents pass by.
     """
-    dealt = rows.repartition(F.coalesce(F.xxhash64("word"), F.col("block"))).sortWithinPartitions("word")
+    dealt = rows.repartition(F.when(F.col("bucket") >= 0, F.hash("bucket").cast("long")).otherwise(F.col("block"))).sortWithinPartitions("bucket")
 
     def run(batches):
-        from relflow.llm.bpe import Pieces
+        from relflow.llm.bpe import Pieces, _planes, _seal, _strings, _unseal
+        from relflow.llm.packing import _Kept
 
-        pieces = Pieces.of(path)
+        pieces, known = Pieces.of(path), _Kept(500_000)
         kind = "<u2" if pieces.top < 1 << 16 else "<u4"
-        last, last_ids = None, None
         for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            got = []
-            for word in coded.dictionary.to_pylist():
-                if word != last:
-                    last, last_ids = word, np.array(pieces.ids(word.encode()), kind).tobytes()
-                got.append(last_ids)
-            answers = pa.array(got, pa.binary()).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), pc.coalesce(answers, batch.column("payload"))], names=["block", "number", "payload"])
-
-    return dealt.mapInArrow(run, "block long, number int, payload binary")
+            out = []
+            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
+                if bucket < 0:
+                    out.append(payload.as_py())
+                    continue
+                ids = []
+                for word in _strings(*_unseal(payload.as_py())):
+                    got = known.find(word)
+                    if got is None:
+                        got = np.array(pieces.ids(word.encode()), kind).tobytes()
+                        known.put(word, got)
+                    ids.append(got)
+                width = np.dtype(kind).itemsize
+                out.append(_seal(_planes(np.fromiter(map(len, ids), np.int64, len(ids)) // width), b"".join(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=_BLOCK)
+
+    return dealt.mapInArrow(run, "block long, bucket int, payload binary")
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, tokens (array<int>): every text's ids."""
     path = path or vocabulary_path()
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
-    # a sorted stream per block: its documents, then its words' ids by number
-    stream = encode_words(blocks(docs, key, text, block_bytes), path).repartition("block").sortWithinPartitions("block", "number")
+    buckets = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a sorted stream per block: its documents, then the ids of its words by bucket
+    stream = encode_words(blocks(docs, key, text, block_bytes, buckets), path).repartition("block").sortWithinPartitions("block", "bucket")
 
     def run(batches):
         from relflow.llm.bpe import Pieces, _unseal, reassemble
 
         kind = "<u2" if Pieces.of(path).top < 1 << 16 else "<u4"
-        sealed, held = None, []
+        owner, held = None, []
         for batch in batches:
-            number, lo = batch.column("number").to_numpy(), 0
-            for at in [*np.flatnonzero(number == -1).tolist(), batch.num_rows]:
-                if at > lo:
-                    held.append(batch.column("payload").slice(lo, at - lo))
-                if at < batch.num_rows:
-                    if sealed is not None:
-                        yield from reassemble(held, *_unseal(sealed), kind)
-                    sealed, held = batch.column("payload")[at].as_py(), []
-                lo = at + 1
-        if sealed is not None:
-            yield from reassemble(held, *_unseal(sealed), kind)
+            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
+                if bucket < 0:
+                    if owner is not None:
+                        yield from reassemble(held, *owner, kind)
+                    owner, held = _unseal(payload.as_py()), []
+                else:
+                    held.append(_unseal(payload.as_py()))
+        if owner is not None:
+            yield from reassemble(held, *owner, kind)
 
     return stream.mapInArrow(run, schema)
 
 
-def _parts(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids of each answer, and all their ids."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.diff(offsets).astype(np.int64) // width, np.frombuffer(raw.tobytes(), kind)
-
-
-def reassemble(answers: list, ids: pa.Array, counts: np.ndarray, places: np.ndarray, kind: str, step_tokens: int = 400_000):
+def reassemble(answers: list, ids: pa.Array, counts: bytes, places: bytes, home: bytes, kind: str, step_tokens: int = 400_000):
     """The documents of one block: ids of the word at each position, end to end."""
-    parts = [_parts(a, kind) for a in answers]
-    size = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)])
-    pool = np.concatenate([p[1] for p in parts] or [np.zeros(0, kind)])
-    if len(places) and int(places.max()) >= len(size):
+    counts, places, home = np.frombuffer(counts, "<i4"), _unplanes(places), _unplanes(home)
+    dealt = np.concatenate([_unplanes(a[0]) for a in answers] or [np.zeros(0, np.int32)]).astype(np.int64)
+    pool = np.frombuffer(b"".join(a[1] for a in answers), kind)
+    if len(dealt) != len(home):
         raise ValueError("a block has words without an answer")
-    begin = np.cumsum(size) - size
+    order = np.argsort(home, kind="stable")  # the words' numbers in the order of the answers
+    size, begin = np.empty_like(dealt), np.empty_like(dealt)
+    size[order], begin[order] = dealt, np.cumsum(dealt) - dealt
     n = size[places]
     ends = np.concatenate([[0], np.cumsum(n)])
     doc_ends = np.concatenate([[0], np.cumsum(counts)])
