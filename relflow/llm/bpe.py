@@ -220,7 +220,7 @@ def _arrow(schema: T.StructType):
 
 
 def encode_words(rows: DataFrame, path: str) -> DataFrame:
-    """A bucket's rows together: each distinct word is encoded once (again only after 10^6 others) and
+    """A bucket's rows together: each distinct word is encoded once (again only after 150,000 others) and
     answers all its blocks.  A word comes at most once per block, so no word is hot; documents pass by.
     """
     dealt = rows.repartition(F.when(F.col("bucket") >= 0, F.hash("bucket").cast("long")).otherwise(F.col("block"))).sortWithinPartitions("bucket")
@@ -229,7 +229,7 @@ def encode_words(rows: DataFrame, path: str) -> DataFrame:
         from relflow.llm.bpe import Pieces, _planes, _seal, _strings, _unseal
         from relflow.llm.packing import _Kept
 
-        pieces, known = Pieces.of(path), _Kept(500_000)
+        pieces, known = Pieces.of(path), _Kept(150_000)
         kind = "<u2" if pieces.top < 1 << 16 else "<u4"
         for batch in batches:
             out = []
