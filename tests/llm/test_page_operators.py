@@ -122,6 +122,43 @@ def test_classifier_without_labels(spark):
     assert np.isfinite(quality_model.text_features("\ud800 a" * 3)).all() and not quality_model.text_features("").any()
 
 
+def test_cotraining_takes_part_of_all_unlabelled(spark):
+    rows = [(i, "good words, in a row. " * (1 + i % 7) if i % 2 else "#$% || 99 " * (1 + i % 7), "en", f"s{i % 2}", i % 900) for i in range(9_500)]
+    docs = spark.createDataFrame([*rows, (None, "no id", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1_000)], "doc_id long, quality int")
+    told = quality_model.train(docs, labels, max_labelled=600)["told"]
+    assert told["unlabelled"] == 9_500 - 1_000 + 1  # none left out, and no labelled one beyond the sample
+    for n, weight in zip(told["pseudo"], told["weights"], strict=True):
+        assert 1_600 < n <= 4 * 0.05 * 8_501 and 0 < weight * n <= 300  # four rounds over all; more than a pool of 8000 could give to one view
+
+
+def test_cotraining_is_the_fit_over_all_rows(spark, monkeypatch):
+    r = np.random.default_rng(0)
+    y = r.integers(0, 2, 600)
+    views = [(r.normal(size=(600, k)) + y[:, None]).astype(np.float32) for k in (5, 3)]
+    at, rest = slice(0, 100), slice(100, 600)
+    rows = [(t.tobytes(), m.tobytes(), int(h)) for t, m, h in zip(views[0][rest], views[1][rest], r.integers(-(2**62), 2**62, 500), strict=True)]
+    monkeypatch.setattr(quality_model, "STEPS", 12)
+    pool = spark.createDataFrame([(bytearray(t), bytearray(m), h) for t, m, h in rows], "t binary, m binary, h long").repartition(7)
+    models, told = quality_model.cotrain([v[at] for v in views], y[at], pool, rounds=1, per_round=0.2)
+    first = [quality_model.fit(v[at], y[at].astype(float), ridge=k) for v, k in zip(views, (0.3, 3.0), strict=True)]
+    free, base, most = np.ones(500, bool), y[at].mean(), 100
+    for v in (0, 1):
+        z = quality_model.logits(views[v][rest], first[v])
+        take = []
+        for sign, n in ((-1, int(most * (1 - base))), (1, int(most * base))):
+            sure = np.flatnonzero(free & (sign * z >= np.log(19)))
+            take.append(sure[np.argsort(-sign * z[sure])][:n])
+        free[np.concatenate(take)] = False
+        o, n = 1 - v, sum(map(len, take))
+        x = np.vstack([views[o][at], views[o][rest][np.concatenate(take)]])
+        t = np.concatenate([y[at], np.zeros(len(take[0])), np.ones(len(take[1]))])
+        weight = np.r_[np.ones(100), np.full(n, min(0.5, 50 / n))]
+        want = quality_model.fit(x, t.astype(float), weight, ridge=(0.3, 3.0)[o])
+        assert abs(told["pseudo"][o] - n) <= 2 and np.abs(models[o] - want).max() < 0.05
+    assert quality_model.cut_at(np.array([4, 0, 3]), 5) == (0, 0.5) and quality_model.cut_at(np.array([4, 0, 3]), 9) == (-1, 0.0)
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
     from relflow.llm.common import cut
