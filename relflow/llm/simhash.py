@@ -19,6 +19,8 @@ always meet half way, and those that meet are at most 4 apart), which is linear
 Defined results: null text counts as empty; texts without words have fingerprint zero and
 link like any other.  Repeated rows and ids share a fingerprint and so a class; a null doc_id is
 linked but never names a class unless all of the class are null.  An empty table gives none.
+``keep`` tells rows apart by id and text digest, so that of each class exactly one row stays: that
+of the smallest id (null last), then of the smallest digest, then any one of wholly equal key.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_of
@@ -90,19 +92,23 @@ def _fold(counts: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long; with ``digest`` also the SHA-256 of the text."""
     kind = docs.schema[key].dataType
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType()), *([T.StructField("digest", T.BinaryType())] if digest else [])])
 
     def run(batches):
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=schema.names)
 
-    return docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"), *([_digest(text).alias("digest")] if digest else [])).mapInArrow(run, schema)
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(text_of(text), 256))
 
 
 def _link_block(fps: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
@@ -205,25 +211,39 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_POSTING)
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) for every row."""
     fps = cut(fingerprints(docs, key, text), "fingerprints")
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    return _with_least(fps, F.col("doc_id"), max_bits).withColumnRenamed("least", "component_id")
+
+
+def _with_least(fps: DataFrame, value: Column, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``fps`` with ``least``, the smallest ``value`` of their class."""
+    nodes = cut(fps.groupBy("fp").agg(F.min(value).alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes.select("fp"), max_bits))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     named = cut(named, "named")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    where = cut(named.join(least, "root").select("fp", "n", "component_id"), "classes")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    where = cut(named.join(least, "root").select("fp", "n", "least"), "classes")
     # fingerprints of over a thousandth of the rows: at most a thousand, the one broadcast
     limit = max(fps.count() // 1_000, 1_000)
-    hot = F.broadcast(where.filter(F.col("n") > limit).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot")))
+    hot = F.broadcast(where.filter(F.col("n") > limit).select("fp", F.col("least").alias("hot_least"), F.lit(True).alias("is_hot")))
     tagged = fps.join(hot, "fp", "left")
-    a = tagged.filter("is_hot").select("doc_id", "fp", F.col("hot_id").alias("component_id"))
-    b = tagged.filter("is_hot is null").select("doc_id", "fp").join(where.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    a = tagged.filter("is_hot").select(*fps.columns, F.col("hot_least").alias("least"))
+    b = tagged.filter("is_hot is null").select(*fps.columns).join(where.select("fp", "least"), "fp").select(*fps.columns, "least")
     return a.unionByName(b)
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, that with the smallest id; columns unchanged."""
-    gone = classes(docs, key, text).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
+    """One document of each class, that with the smallest id (null last); columns unchanged."""
+    fps = cut(fingerprints(docs, key, text, digest=True), "fingerprints")
+    least = _with_least(fps, F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id"), F.col("digest")))
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
+    rows = cut(least.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), first.alias("stays")), "near")
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d"))
+    # id and digest tell the text and so the class: rows that share both stay or go alike
+    left = docs.withColumn("__digest", _digest(text)).join(rows.filter("not stays").select("__id", "__d"), same, "left_anti")
+    repeated = cut(rows.filter("stays").groupBy("__id", "__d").count().filter("count > 1").select("__id", "__d"), "repeated")
+    if not repeated.isEmpty():  # of those that stay, one each is taken
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([key, "__digest"]))
+    return left.drop("__digest")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,38 @@ def test_near_dedup(spark):
     assert simhash.classes(frame(spark, [])).count() == 0
 
 
+def brute_near(rows):
+    """(id, text) rows -> sorted rows that stay: one of each class, by smallest id (null last), then text digest."""
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    fps = [brute_fingerprint(t) for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                parent[root(i)] = root(j)
+    best = {}
+    for n, (i, t) in enumerate(rows):
+        rank = (i is None, i or 0, hashlib.sha256((t or "").encode()).digest())
+        best[root(n)] = min(best.get(root(n), (rank, i, t)), (rank, i, t), key=lambda x: x[0])
+    return sorted(((i, t) for _, i, t in best.values()), key=repr)
+
+
+def test_near_dedup_keeps_one_row_whatever_the_ids(spark):
+    t = noise(40, 11)
+    t = [x + " " + str(n) * 3 for n, x in enumerate(t)]
+    rows = [(1, t[0]), (None, t[0]), (None, t[1]), (None, t[2]), (None, t[2]), (None, t[3] + " "), (None, t[3])]  # null ids: one a copy, others unique or all null
+    rows += [(5, t[4]), (6, t[4]), (6, t[5]), (7, t[6]), (7, t[6]), (7, t[6] + "\n"), (8, t[7]), (8, t[8]), (8, None), (9, "")]  # repeated ids
+    df = frame(spark, [x for _, x in rows], [i for i, _ in rows])
+    out = simhash.keep(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == brute_near(rows)
+
+
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_links_of_dense_fingerprints(spark, hot):
     r = random.Random(1)
