@@ -2,7 +2,8 @@
 
 Each step is two aggregations and joins on slim edge rows, never a collected neighbour list,
 so a hub's edges stay spread: minima combine before the shuffle.  Every step is cut to a
-written table; the loop ends when a whole round leaves the edge set as it was.
+written table; the loop ends when a whole round leaves the edge set as it was, and fails where
+``rounds`` of them do not get there (they normally take a few), as the classes were then not whole.
 """
 
 from __future__ import annotations
@@ -40,4 +41,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

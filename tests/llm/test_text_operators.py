@@ -176,6 +176,16 @@ def test_near_dedup_keeps_one_row_whatever_the_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == brute_near(rows)
 
 
+def test_components_settle_or_fail(spark):
+    from relflow.llm.components import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert {r.node: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+    with pytest.raises(RuntimeError):
+        components(edges, rounds=1)
+    assert components(edges.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_links_of_dense_fingerprints(spark, hot):
     r = random.Random(1)
