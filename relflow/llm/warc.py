@@ -41,8 +41,6 @@ MAX_TASKS = 100_000
 LEVEL = 4
 _MAGIC = b"\x1f\x8b\x08"
 _BUFFER = 1 << 20
-#: A record's header block is at most so long; a candidate that shows no end of it by then is none.
-_HEADER_BYTES = 64 << 10
 _DATE = "2000-01-01T00:00:00Z"
 _READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string, at long"
 
@@ -171,7 +169,7 @@ class _Window:
 def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
     """The decoded member that starts at ``at`` and the place behind it; None if there is no record."""
     z = zlib.decompressobj(31)
-    out, place, checked = [], at, False
+    out, place, head = [], at, b""
     try:
         while not z.eof:
             raw = window.bytes(place, 1 << 16)
@@ -179,16 +177,14 @@ def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
                 return None
             out.append(z.decompress(raw))
             place += len(raw)
-            if not checked:  # enough decoded to see whether this is a record at all
-                head = b"".join(out)
-                if head and not (b"WARC/".startswith(head[:5]) if len(head) < 5 else head.startswith(b"WARC/")):
+            if len(head) < 5:  # enough decoded to see whether this is a record at all
+                head += out[-1][:5]
+                if not head.startswith(b"WARC/"[: len(head)]):
                     return None
-                if b"\r\n\r\n" not in head and len(head) > _HEADER_BYTES:
-                    return None
-                checked = b"\r\n\r\n" in head
     except zlib.error:
         return None
-    return (b"".join(out), place - len(z.unused_data)) if checked else None
+    data = b"".join(out)
+    return (data, place - len(z.unused_data)) if data.startswith(b"WARC/") and b"\r\n\r\n" in data else None
 
 
 def records_from(file, size: int, start: int, end: int):
@@ -266,10 +262,18 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in kinds], names=[n for n, _ in kinds])
 
 
+def whole(manifest: DataFrame, records: DataFrame) -> None:
+    """Fail where not as many records were read as the manifest's archives hold."""
+    written, got = manifest.agg(F.sum("records")).first()[0] or 0, records.count()
+    if written != got:
+        raise ValueError(f"{got} records read of {written} written")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     manifest = write(with_revisits(table(spark, sf_dir, "pages")), folder)
     back = cut(read(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    whole(manifest, back)
     remove(spark, folder)
     return back
 

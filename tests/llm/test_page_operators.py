@@ -31,6 +31,19 @@ def test_warc_round_trip_over_any_ranges(spark, tmp_path, size):
             assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == data
 
 
+def test_warc_urls_of_any_length(spark, tmp_path):
+    import random
+
+    r = random.Random(0)
+    urls = ["data:" + "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(n)) for n in (300, 95_000, 300_000)] + ["u" * 3_000_000]
+    manifest = warc.write(warc.with_revisits(spark.createDataFrame([(i, u, "same") for i, u in enumerate(urls)], PAGES)), str(tmp_path))
+    got = warc.read(manifest, 50_000)
+    assert {x.page_id: x.url for x in got.collect()} == dict(enumerate(urls))
+    warc.whole(manifest, got)
+    with pytest.raises(ValueError):
+        warc.whole(manifest, got.filter("page_id <> 1"))
+
+
 def test_warc_ignores_unfinished_and_empty(spark, tmp_path):
     none = spark.createDataFrame([], PAGES)
     assert warc.read(warc.write(warc.with_revisits(none), str(tmp_path))).count() == 0
