@@ -2,7 +2,9 @@
 
 A page becomes a tree (open tags are closed where HTML implies it).  Text is gathered into
 blocks; boilerplate subtrees (navigation, headers, footers, asides, forms, scripts, styles, and
-elements whose class, id or role says advert, menu, notice, comments and the like) are left out.
+elements whose role or a whole class or id name says advert, menu, comments and the like) are left
+out; one marked by such a name or role only, or a form, stays where it holds the article (or main)
+element, or without one most of the page's text outside links.
 Every paragraph-like block passes points for its length and commas to its parent and half of
 them to its grandparent, then each container's points shrink by its link density.  The best
 container is kept with those siblings that score near it or are long paragraphs with few links.
@@ -27,19 +29,21 @@ from .common import table, text_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "title"}
+_RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "title"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = set("head nav header footer aside form button select option label fieldset dialog menu object canvas audio video map figure".split()) | _RAW
-_BLOCK = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote div section article main body caption figcaption summary details address center tr table ul ol dl tbody thead tfoot hr html root".split())
+_DROP = set("head nav header footer aside form button select option label fieldset dialog menu object canvas audio video map annotation annotation-xml".split()) | _RAW
+_BLOCK = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote div section article main body caption figure figcaption summary details address center tr table ul ol dl tbody thead tfoot hr html root".split())
 #: What an element closes implicitly when it opens.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOP = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "p": {"td", "th", "button", "object"}}
 _ENDS_P = _BLOCK | set("form nav header footer aside fieldset figure".split())
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|side-?bar|widget|footer|header|masthead|"
-    r"cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist|replies|disqus|respond|discussion|"
-    r"pagination|pager|toolbar|skip|hidden|legal|copyright|tags?|byline-ad|outbrain|taboola)(?:$|[\s_-]|\d)",
-    re.I,
+#: Whole class or id names (lower case, _ as -) that mean boilerplate wherever they stand.
+_BAD = set(
+    "ad ads advert adverts advertisement advertisements adsense ad-slot ad-unit ad-banner ad-box ad-container ad-wrapper google-ad google-ads byline-ad sponsored sponsor promo promos banner site-banner cookie-banner "
+    "menu main-menu site-menu nav-menu nav navbar nav-bar navigation main-nav site-nav breadcrumb breadcrumbs sidebar side-bar left-sidebar right-sidebar footer site-footer page-footer site-header masthead "
+    "cookie-notice cookie-consent cookies-notice gdpr popup modal newsletter newsletter-signup subscribe signup login share sharing share-buttons share-bar social social-share social-links social-media "
+    "related related-posts related-articles related-links related-stories recommended recommendations comments comment-list commentlist comment-section comments-section comments-area reader-comments user-comments disqus disqus-thread respond "
+    "pagination pager toolbar skip skip-link hidden copyright outbrain taboola".split()
 )
 _BAD_ROLE = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _KEEP = {"html", "body", "article", "main", "root"}
@@ -48,30 +52,51 @@ _KEEP = {"html", "body", "article", "main", "root"}
 class Node:
     __slots__ = ("tag", "parent", "items", "bad", "points", "chars", "linked")
 
-    def __init__(self, tag, parent, bad=False):
+    def __init__(self, tag, parent, bad=0):
         self.tag, self.parent, self.bad = tag, parent, bad
         self.items = []
         self.points = self.chars = self.linked = 0.0
 
 
-def _is_bad(tag: str, attrs: str) -> bool:
+def _is_bad(tag: str, attrs: str) -> int:
+    """0 for content, 2 for boilerplate, 1 for what a name, a role or a form alone makes boilerplate."""
     if tag in _DROP:
-        return True
+        return 1 if tag == "form" else 2
     if tag in _KEEP or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return 0
+    bad = 0
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if _BAD.search(value):
-                return True
+            if not _BAD.isdisjoint(value.lower().replace("_", "-").split()):
+                bad = 1
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         elif name == "role" and value.lower() in _BAD_ROLE:
-            return True
+            bad = 1
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 2
+    return bad
+
+
+def _spare(root: Node) -> None:
+    """Take the mark off weakly marked subtrees that hold the article, or without one most of the unlinked text."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, link = stack.pop()
+        order.append((node, link))
+        stack += [(x, link or x.tag == "a") for x in node.items if isinstance(x, Node) and x.bad < 2]
+    if not any(node.bad for node, _ in order):
+        return
+    held, marked = {}, {}
+    for node, link in reversed(order):  # children before parents
+        below = [x for x in node.items if isinstance(x, Node) and x.bad < 2]
+        held[id(node)] = sum(held[id(x)] for x in below) + (0 if link else sum(len(x.strip()) for x in node.items if isinstance(x, str)))
+        marked[id(node)] = node.tag in ("article", "main") or any(marked[id(x)] for x in below)
+    for node, _ in order:
+        if node.bad == 1 and (marked[id(node)] or not marked[id(root)] and 2 * held[id(node)] > held[id(root)]):
+            node.bad = 0
 
 
 def parse(page: str) -> Node:
@@ -110,6 +135,7 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else end
             continue
         now = node
+    _spare(root)
     return root
 
 

@@ -79,6 +79,16 @@ def test_html(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_html_names_of_containers_and_captions():
+    for name in ("layout no-sidebar", "content with-sidebar", "sidebar", "page-with-menu"):
+        assert html_text.main_text(f"<div class='{name}'><article><p>Body text.</p></article></div>") == "Body text."
+    for name in ("discussion", "related-work", "section-tags", "legal"):
+        assert html_text.main_text(f"<article><p>a</p><div class='{name}'><h2>T</h2><p>b</p></div></article>") == "a\n\nT\n\nb"
+    assert html_text.main_text("<article><p>a</p><figure><img src=x><figcaption>Cap</figcaption></figure><p>E is <math><mi>m</mi><mo>+</mo></math>.</p></article>") == "a\n\nCap\n\nE is m+."
+    assert html_text.main_text("<form class=ads><p>All of the page, in a form.</p></form><div class=menu>x</div>") == "All of the page, in a form."
+    assert html_text.main_text("<div class='box ads'>" + "no, no. " * 50 + "</div><main><p>b</p></main>") == "b"
+
+
 def test_html_on_generated_articles(spark):
     words = [f"word{i}" for i in range(50)]
     want, pages = {}, []
