@@ -7,7 +7,8 @@ out; one marked by such a name or role only, or a form, stays where it holds the
 element, or without one most of the page's text outside links.
 Every paragraph-like block passes points for its length and commas to its parent and half of
 them to its grandparent, then each container's points shrink by its link density.  The best
-container is kept with those siblings that score near it or are long paragraphs with few links.
+container is kept with those siblings, its own and those of every container around it, that score
+near it or hold few links; bare text beside them stays likewise.
 An <article> (or main) element that holds most of the points is taken as the container.
 
 Defined results: null and empty pages give an empty text; pages are judged one by one, so
@@ -46,6 +47,8 @@ _BAD = set(
     "pagination pager toolbar skip skip-link hidden copyright outbrain taboola".split()
 )
 _BAD_ROLE = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: What stays beside the best container if it holds few links.
+_BESIDE = set("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table div section article figure details address center".split())
 _KEEP = {"html", "body", "article", "main", "root"}
 
 
@@ -229,15 +232,18 @@ def main_text(page: str | None) -> str:
         if marked:
             best = max(marked, key=lambda x: x.chars)
     keep = set(inside[id(best)])
-    if best.tag not in ("article", "main", "body", "root"):
-        for item in best.parent.items if best.parent is not None else []:
-            if isinstance(item, Node) and item is not best and id(item) in scored:
+    around, at = set(), best
+    while at.parent is not None and at.tag not in ("article", "main", "body"):
+        for item in at.parent.items:
+            if isinstance(item, Node) and item is not at and id(item) in scored:
                 density = item.linked / max(item.chars, 1)
-                if item.points >= max(10, best.points * 0.2) or item.tag in ("p", "h1", "h2", "h3", "blockquote", "ul", "ol", "pre", "table") and density < 0.25:
+                if item.points >= max(10, best.points * 0.2) or item.tag in _BESIDE and density < 0.25:
                     keep.update(inside[id(item)])
-        for n, (_, owner, _) in enumerate(blocks):  # bare text of the container's parent
-            if owner is best.parent and blocks[n][2] == 0:
-                keep.add(n)
+        at = at.parent
+        around.add(id(at))
+    for n, (_, owner, linked) in enumerate(blocks):  # bare text of the containers around
+        if id(owner) in around and linked == 0:
+            keep.add(n)
     return "\n\n".join(blocks[n][0] for n in sorted(keep))
 
 

@@ -89,6 +89,13 @@ def test_html_names_of_containers_and_captions():
     assert html_text.main_text("<div class='box ads'>" + "no, no. " * 50 + "</div><main><p>b</p></main>") == "b"
 
 
+def test_html_keeps_short_parts_beside_the_best_container():
+    long = [f"Part {i} is long, " + "with words, and commas, " * 12 + "to the end." for i in range(5)]
+    p = lambda *texts: "".join(f"<p>{t}</p>" for t in texts)
+    page = f"<body><ul><li><a href=/>home</a></ul><div id=content><div>{p(*long)}</div><h4>Four</h4><div>{p('One more.', 'And one.')}</div><dl><dt>Term<dd>Meaning</dl><div><a href=/x>more of this</a></div></div><div><section>{p('A cousin.')}</section></div></body>"
+    assert html_text.main_text(page).split("\n\n") == [*long, "Four", "One more.", "And one.", "Term", "Meaning", "A cousin."]
+
+
 def test_html_on_generated_articles(spark):
     words = [f"word{i}" for i in range(50)]
     want, pages = {}, []
