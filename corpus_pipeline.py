@@ -41,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("pii", private), ("packing", pack)]
 
-#: Streaming state, fingerprints and tokenizer ids have no SQL; tests hold stages against brute force.
+#: Streaming state, fingerprints and tokenizer ids have no SQL; test_pipeline_is_brute_force holds the stages against Python.
 ORACLE_SQL = None
 
 

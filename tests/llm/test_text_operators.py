@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -347,3 +348,67 @@ def min_bins(items, capacity):
 
     place(0, [])
     return best[0]
+
+
+# -- pipeline ----------------------------------------------------------------------------------
+def brute_keeps(text):
+    """The quality rules in Python."""
+    t = text or ""
+    n, chars, symbols, dups, _, failed = brute_rules(t)
+    lines = [x for x in t.split("\n") if re.search(f"[^{WS[1:-1]}]", x)]
+    upper = sum(unicodedata.category(c) == "Lu" for c in t)
+    return not (failed or 100 * symbols > 20 * n or chars < 2 * n or chars > 14 * n or dups > 1 and 100 * dups > 50 * len(lines) or 100 * upper > 40 * chars or 100 * t.count("!") > 30 * n)
+
+
+def brute_exact(rows):
+    best = {}
+    for i, t in rows:
+        g = re.sub(WS, "", t or "")
+        rank = (-len(t or ""), i is None, i or 0)
+        best[g] = min(best.get(g, (rank, i, t)), (rank, i, t), key=lambda x: x[0])
+    return sorted(((i, t) for _, i, t in best.values()), key=repr)
+
+
+def brute_redact(text):
+    for k, s, e in sorted(brute_pii(text), key=lambda x: -x[1]):
+        text = text[:s] + f"<{pii.KINDS[k].upper()}>" + text[e:]
+    return text
+
+
+def test_pipeline_is_brute_force(spark):
+    import inspect
+    import zlib
+
+    import corpus_pipeline
+    import numpy as np
+    from relflow.llm.common import cut
+    from tokenizers import Tokenizer
+
+    r = random.Random(8)
+    prose = lambda n=80: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(n))
+    t = [prose() for _ in range(12)]
+    near = prose(400)
+    rows = [(1, t[0]), (None, t[0]), (None, t[1]), (None, t[2]), (None, t[2] + " "), (3, t[3]), (3, t[4]), (3, t[4]), (2, t[4]), (None, t[5] + " write to me.too@site.org or 10.0.0.1 now")]
+    rows += [(4, near + " end"), (4, t[6]), (5, near + " fin"), (None, near + " eof"), (None, t[7]), (9, None), (10, "short"), (11, t[8].upper()), (12, "! ".join(t[9].split())), (13, "same words here " * 40), (14, "# " * 30 + t[10]), (15, "\n".join([t[11]] * 3))]
+    capacity = inspect.signature(packing.pieces).parameters["capacity"].default
+    whole = Tokenizer.from_file(packing.vocabulary_path())
+    docs = frame(spark, [x for _, x in rows], [i for i, _ in rows])
+    steps = {"quality rules": lambda rows: [x for x in rows if brute_keeps(x[1])], "exact dedup": brute_exact, "near dedup": brute_near, "pii": lambda rows: [(i, brute_redact(x)) for i, x in rows]}
+    sizes = [len(rows)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, ""), "test")
+        rows = steps[name](rows)
+        sizes.append(len(rows))
+        assert sorted(((x.doc_id, x.text) for x in docs.collect()), key=repr) == sorted(rows, key=repr), name
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == sizes[4] and any("<EMAIL>" in x for _, x in rows)
+    want = Counter()
+    for i, x in rows:
+        ids = np.array(whole.encode(x, add_special_tokens=False).ids + [1], "<u4")
+        want.update((i, p, s, len(ids[s : s + capacity]), zlib.crc32(ids[s : s + capacity])) for p, s in enumerate(range(0, len(ids), capacity)))
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got) == want
+    bins = {}
+    for x in sorted(got, key=lambda x: (x.sequence_id, x.offset)):
+        assert x.offset == bins.get(x.sequence_id, 0)
+        bins[x.sequence_id] = x.offset + x.length
+    assert max(bins.values()) <= capacity
