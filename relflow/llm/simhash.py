@@ -2,25 +2,22 @@
 
 A fingerprint is eight bytes.  Two that differ in at most ``max_bits`` = 4 bits differ in at
 most four bytes, so they share at least four of the eight positional bytes: the guaranteed
-minimum for count filtering.  A posting list per single (position, byte) would hold 1/256 of
-the corpus, so postings are kept per triple of positions: among any four shared positions,
-one of 20 fixed triples is shared whole (the triples of two halves of the eight positions
-taken three at a time within a half, or two from a half and a paired one from the next).
-Inside a posting each pair's shared positional bytes are tallied, pairs under the minimum are
-dropped, the rest verified by their differing bits.
-
-Only distinct fingerprints enter the index; documents join again by fingerprint.  A posting is
-compared in blocks with vector operations and emits a spanning forest of its verified links
-(at most one link less than its members), never all pairs.  A posting above ``HOT_POSTING``
-members goes another exact way: each member emits the points within half the radius of it, and
-members that meet at a point are linked to the least of them (two fingerprints at distance d <= 4
-always meet half way, and those that meet are at most 4 apart), which is linear in the posting.
+minimum for count filtering.  A posting list per single (position, byte) holds 1/256 of the corpus,
+and its pairs grow with the square of it, so postings are kept per three positions and their bytes:
+among any four shared positions, one of 20 fixed triples is shared whole.  A posting of many
+members is split again into its positional lists by one more position (exact, as a link of the
+posting shares four).  Inside a list each pair's shared positional bytes are tallied, pairs under
+the minimum are dropped, the rest verified by their differing bits.
+
+Only distinct fingerprints enter the index, in one shuffle of 20 rows each; documents join again
+by fingerprint.  A list is compared by vector operations and emits a spanning forest of its
+verified links (at most one link less than its members), never all pairs.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and
 link like any other.  Repeated rows and ids share a fingerprint and so a class; a null doc_id is
 linked but never names a class unless all of the class are null.  An empty table gives none.
 ``keep`` tells rows apart by id and text digest, so that of each class exactly one row stays: that
-of the smallest id (null last), then of the smallest digest, then any one of wholly equal key.
+of the smallest id (null last), then of the smallest digest, then that of the first file and row.
 """
 
 from __future__ import annotations
@@ -28,17 +25,18 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, table, text_of
+from .common import anchored, cut, flagged, join_skewed, numbered, table, text_of
 from .components import components
 
 SEED = 42
 MAX_BITS = 4
-HOT_POSTING = 4_096
+#: Members from which a posting is split into positional lists.
+FINE = 512
 _CHUNK = 1 << 16
 POSITIONS = 8
 
@@ -92,19 +90,17 @@ def _fold(counts: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long; with ``digest`` also the SHA-256 of the text."""
-    kind = docs.schema[key].dataType
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType()), *([T.StructField("digest", T.BinaryType())] if digest else [])])
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", extra: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long; and ``extra`` columns as they are."""
+    rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("__text"), *extra)
+    schema = T.StructType([rows.schema[0], T.StructField("fp", T.LongType()), *rows.schema[2:]])
 
     def run(batches):
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=schema.names)
 
-    return docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"), *([_digest(text).alias("digest")] if digest else [])).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _digest(text: str) -> Column:
@@ -133,79 +129,84 @@ def _link_block(fps: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _ball(fps: np.ndarray, radius: int):
-    """(point, fp) for all points within ``radius`` bits of each fingerprint."""
-    masks = [0]
-    for r in range(1, radius + 1):
-        masks += [sum(1 << i for i in c) for c in combinations(range(64), r)]
-    for m in masks:
-        yield fps ^ np.uint64(m), fps
-
-
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_POSTING) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, fine: int = FINE) -> DataFrame:
     """(a, b) signed fingerprints: enough verified links to connect each class of linked fingerprints."""
     triples = cover(POSITIONS, POSITIONS - max_bits)
     assert max_bits == 4, "the cover of triples is made for four differing bits"
-    keys = []
-    for n, t in enumerate(triples):
-        mask = sum(0xFF << (8 * p) for p in t)
-        mask -= (1 << 64) if mask >= 1 << 63 else 0
-        keys.append(F.struct(F.lit(n).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("v")))
-    postings = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.t", "k.v", "fp")
-    sizes = postings.groupBy("t", "v").count().filter("count > 1")
-    sizes = cut(sizes, "postings")
-    large = sizes.filter(F.col("count") > hot).select("t", "v")
-
-    def small(batches):
-        rest = None
-        for batch in batches:
-            df = batch.to_pandas()
-            if rest is not None:
-                df = pd.concat([rest, df], ignore_index=True)
-            change = np.flatnonzero((df.t.to_numpy()[1:] != df.t.to_numpy()[:-1]) | (df.v.to_numpy()[1:] != df.v.to_numpy()[:-1])) + 1
-            if not change.size:
-                rest = df
+    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(0xFF))
+    keys = [sum((byte(p) * F.lit(1 << 8 * i).cast("long") for i, p in enumerate(t)), F.lit(n << 24).cast("long")) for n, t in enumerate(triples)]
+    postings = distinct.select("fp", F.explode(F.array(*keys)).alias("posting"))
+
+    def run(batches):
+        for key, fps in _postings(batches):
+            if fps.size > 1:
+                a, b = _link_posting(fps, triples[int(key) >> 24], max_bits, fine)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], names=["a", "b"])
+
+    return postings.repartition("posting").sortWithinPartitions("posting", "fp").mapInArrow(_bundled(run), "a long, b long")
+
+
+def _bundled(run, rows: int = 50_000):
+    """The same batches in larger ones, as most postings give one link."""
+
+    def out(batches):
+        held, n = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return out
+
+
+def _postings(batches):
+    """(key, fingerprints) of each posting of a stream sorted by key; columns fp, posting."""
+    last, held = None, []
+    for batch in batches:
+        keys = batch.column(1).to_numpy()
+        fps = batch.column(0).to_numpy().view(np.uint64)
+        starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [keys.size]])
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if lo == hi:
                 continue
-            cutoff = change[-1]
-            rest = df.iloc[cutoff:]
-            yield from emit(df.iloc[:cutoff], change[:-1])
-        if rest is not None and len(rest):
-            yield from emit(rest, np.array([], int))
-
-    def emit(df, change):
-        fps = df.fp.to_numpy().view(np.uint64)
-        a, b = [], []
-        for part in np.split(fps, change):
-            if part.size == 2:
-                x = part[0] ^ part[1]
-                if np.count_nonzero(np.array([x]).view(np.uint8) == 0) >= POSITIONS - max_bits and int(x).bit_count() <= max_bits:
-                    a.append(int(part[0]))
-                    b.append(int(part[1]))
-            elif part.size > 2:
-                p, q = _link_block(part, max_bits)
-                a += p
-                b += q
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], names=["a", "b"])
-
-    # members of postings with at most `hot` rows, put together by key: bounded groups
-    fit = postings.join(sizes.filter(F.col("count") <= hot).select("t", "v"), ["t", "v"], "left_semi")
-    near = fit.repartition("t", "v").sortWithinPartitions("t", "v", "fp").mapInArrow(small, "a long, b long")
-    if large.isEmpty():
-        return near
-
-    def ball(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                fps = batch.column(0)[at : at + 64].to_numpy().view(np.uint64)
-                got = list(_ball(fps, max_bits // 2))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p for p, _ in got]).view(np.int64)), pa.array(np.concatenate([f for _, f in got]).view(np.int64))], names=["p", "fp"])
+            if keys[lo] != last and held:
+                yield last, held[0] if len(held) == 1 else np.concatenate(held)
+                held = []
+            last = keys[lo]
+            held.append(fps[lo:hi])
+    if held:
+        yield last, held[0] if len(held) == 1 else np.concatenate(held)
+
+
+def _link_posting(fps: np.ndarray, triple: tuple[int, ...], max_bits: int, fine: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of a posting's links.  Over ``fine`` members, by its positional lists.
 
-    many = postings.join(large, ["t", "v"], "left_semi").select("fp").distinct()
-    met = many.mapInArrow(ball, "p long, fp long")
-    star = met.groupBy("p").agg(F.min("fp").alias("b"), F.max("fp").alias("hi")).filter("b <> hi").select("p", "b")
-    far = met.join(star, "p").filter("fp <> b").select(F.col("fp").alias("a"), "b")
-    return near.unionByName(far)
+    A pair of the posting shares the triple, so to reach the least number of shared positions it shares
+    one more: its positional lists (position and byte) hold every link, each 1/256 of the posting.
+    """
+    if fps.size == 2:
+        x = int(fps[0] ^ fps[1])
+        shared = sum((x >> 8 * p) & 0xFF == 0 for p in range(POSITIONS))
+        ok = shared >= POSITIONS - max_bits and x.bit_count() <= max_bits
+        return ([int(fps[0])], [int(fps[1])]) if ok else ([], [])
+    if fps.size <= fine:
+        return _link_block(fps, max_bits)
+    a, b = [], []
+    for p in range(POSITIONS):
+        if p in triple:
+            continue
+        own = (fps >> np.uint64(8 * p)).astype(np.uint8)
+        order = np.argsort(own, kind="stable")
+        for part in np.split(fps[order], np.flatnonzero(np.diff(own[order])) + 1):
+            x, y = _link_block(part, max_bits) if part.size > 1 else ((), ())
+            a += x
+            b += y
+    return a, b
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -218,32 +219,21 @@ def _with_least(fps: DataFrame, value: Column, max_bits: int = MAX_BITS) -> Data
     """The rows of ``fps`` with ``least``, the smallest ``value`` of their class."""
     nodes = cut(fps.groupBy("fp").agg(F.min(value).alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes.select("fp"), max_bits))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    named = cut(named, "named")
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    where = cut(named.join(least, "root").select("fp", "n", "least"), "classes")
-    # fingerprints of over a thousandth of the rows: at most a thousand, the one broadcast
-    limit = max(fps.count() // 1_000, 1_000)
-    hot = F.broadcast(where.filter(F.col("n") > limit).select("fp", F.col("least").alias("hot_least"), F.lit(True).alias("is_hot")))
-    tagged = fps.join(hot, "fp", "left")
-    a = tagged.filter("is_hot").select(*fps.columns, F.col("hot_least").alias("least"))
-    b = tagged.filter("is_hot is null").select(*fps.columns).join(where.select("fp", "least"), "fp").select(*fps.columns, "least")
-    return a.unionByName(b)
+    named = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("w"))
+    where = cut(join_skewed(named, least, ["root"], "w", named.count()).select("fp", "n", "least"), "classes")
+    return join_skewed(fps, where, ["fp"], "n", fps.count())
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, that with the smallest id (null last); columns unchanged."""
-    fps = cut(fingerprints(docs, key, text, digest=True), "fingerprints")
-    least = _with_least(fps, F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id"), F.col("digest")))
-    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
-    rows = cut(least.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), first.alias("stays")), "near")
-    same = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d"))
-    # id and digest tell the text and so the class: rows that share both stay or go alike
-    left = docs.withColumn("__digest", _digest(text)).join(rows.filter("not stays").select("__id", "__d"), same, "left_anti")
-    repeated = cut(rows.filter("stays").groupBy("__id", "__d").count().filter("count > 1").select("__id", "__d"), "repeated")
-    if not repeated.isEmpty():  # of those that stay, one each is taken
-        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([key, "__digest"]))
-    return left.drop("__digest")
+    """One document of each class, that with the smallest id (null last); columns unchanged, no text shuffled."""
+    own, key, text = numbered(docs, key, text)
+    rows = anchored(own)
+    at = (F.col("__file"), F.col("__row"))
+    fps = cut(fingerprints(rows, key, text, (_digest(text).alias("digest"), *at)), "fingerprints")
+    least = _with_least(fps, F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "digest", *at))
+    first = (at[0] == F.col("least.__file")) & (at[1] == F.col("least.__row"))
+    return flagged(rows, least.filter(~first)).filter("not __hit").select(*own.columns).toDF(*docs.columns)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
