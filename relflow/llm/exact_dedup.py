@@ -1,34 +1,38 @@
 """Exact deduplication over keyed streaming state.
 
-One pass writes *arrivals*: a slim row per document with the digest of its normalised text.
-A stream over the arrivals keeps, per digest, the number of rows and the best row's order key,
-stable identifier and content locator, in a RocksDB state store without watermark or expiry;
-a later run on the same checkpoint folder goes on from there.  Copies are combined before the
-shuffle, so a group of any size costs a row per task.  The finished state is read back as a
-table.  Digest hits are then compared byte for byte: per digest the smallest and the largest
-normalised text must be the same string, again combined before the shuffle.  Digests that
-fail are regrouped by the text itself, so the result is exact for any digest.
-
-Skew: a digest with over 1/HOT_SHARE of all rows is hot; there are at most HOT_SHARE of them,
-which bounds the one broadcast here.  Everything else is joined by digest or identifier.
+One pass writes *arrivals*: a slim row per document with the digest of its normalised text and its
+content locator (parquet file and row).  A stream over the arrivals keeps, per digest, the number
+of rows and the best row's order key, stable identifier and content locator, in a RocksDB state
+store without watermark or expiry; a later run on the same checkpoint folder goes on from there.
+Copies are combined before the shuffle, so a group of any size costs a row per task.  The finished
+state is read back as a table.
+
+Digest hits, also those on rows of earlier runs, are then compared byte for byte: the hit rows'
+texts are fetched by their locators (bitmaps of rows per file, so no other text is shuffled), and per
+digest the smallest and the largest normalised text must be the same string, combined before the
+shuffle.  Digests that fail are regrouped by the texts themselves, over the rows of all runs, so the
+result is exact for any digest.  Files that hold arrivals of earlier runs must still be there; a frame
+that is not read from parquet files is written below the checkpoint folder first.
+
+Skew: hot digests' groups are broadcast, within the bound of ``join_skewed``; all else meets by digest.
 
 Defined results: null text counts as empty; all blank texts form one group.  Of equal texts the
-row with most code points stays, then the smallest doc_id (null last), then the first arrival,
-so of wholly repeated rows exactly one stays.  An empty table gives an empty result; other
-columns never enter, whatever their names.
+row with most code points stays, then the smallest doc_id (null last), then the first run's, then that
+of the first file and row, so of wholly repeated rows exactly one stays.  An empty table gives an
+empty result; other columns never enter, whatever their names.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE_CHARS, cut, remove, scratch, table, text_of
+from .common import _SPACE_CHARS, anchored, cut, flagged, join_skewed, numbered, remove, scratch, table, text_of
 
-HOT_SHARE = 1_000
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -52,22 +56,25 @@ def sha256(text: Column) -> Column:
 
 
 def arrivals(docs: DataFrame, folder: str, digest: Callable[[Column], Column] = sha256, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add the documents' slim rows to the folder that the stream reads; the rows of this run."""
+    """Add the (anchored) documents' slim rows to the folder that the stream reads; the rows of this run."""
     t, run = text_of(text), time.time_ns()
     slim = docs.select(
         F.lit(run).alias("run"),  # tells the arrivals of later runs on the same state apart
-        F.monotonically_increasing_id().alias("arrival"),
         F.col(key).alias("doc_id"),
         digest(normalised(t)).alias("digest"),
         F.length(t).alias("points"),
-        F.input_file_name().alias("locator"),
+        "__file",
+        "__row",
     )
     slim.write.mode("append").parquet(folder)
     return docs.sparkSession.read.schema(slim.schema).parquet(folder).filter(F.col("run") == run)
 
 
+_LOCATOR = ["run", "__file", "__row"]
+
+
 def _best() -> Column:
-    return F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("doc_id"), F.col("run").alias("run"), F.col("arrival").alias("arrival"), F.col("locator").alias("locator")))
+    return F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("void"), "doc_id", *_LOCATOR))
 
 
 def run_state(arrived: DataFrame, folder: str, checkpoint: str, files_per_batch: int = 64) -> DataFrame:
@@ -82,7 +89,7 @@ def run_state(arrived: DataFrame, folder: str, checkpoint: str, files_per_batch:
         query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         if query.lastProgress is None and not _has_state(spark, checkpoint):
-            return spark.createDataFrame([], "digest string, best struct<less:int,void:boolean,doc_id:bigint,run:bigint,arrival:bigint,locator:string>, n bigint")
+            return arrived.groupBy("digest").agg(_best().alias("best"), F.count(F.lit(1)).alias("n"))  # no row yet
         kept = spark.read.format("statestore").load(checkpoint)
         values = kept.schema["value"].dataType.names
         return kept.select(F.col("key")[kept.schema["key"].dataType.names[0]].alias("digest"), F.col("value")[values[0]].alias("best"), F.col("value")[values[1]].alias("n"))
@@ -98,76 +105,77 @@ def _has_state(spark: SparkSession, checkpoint: str) -> bool:
 
 def _decide(arrived: DataFrame, groups: DataFrame) -> DataFrame:
     """Each arrival with its group's best row and size."""
-    total = arrived.count()
-    limit = max(total // HOT_SHARE, 1_000)
-    hot = F.broadcast(groups.filter(F.col("n") > limit).select(F.col("digest"), F.col("best").alias("hot_best"), F.col("n").alias("hot_n")))  # at most HOT_SHARE rows
-    tagged = arrived.join(hot, "digest", "left")
-    fields = ["run", "arrival", "doc_id", "digest", "points"]
-    a = tagged.filter(F.col("hot_n").isNotNull()).select(*fields, F.col("hot_best").alias("best"), F.col("hot_n").alias("n"))
-    b = tagged.filter(F.col("hot_n").isNull()).select(*fields).join(groups, "digest").select(*fields, "best", "n")
-    return a.unionByName(b)
-
-
-def _false_hits(docs: DataFrame, decided: DataFrame, digest, key: str, text: str) -> DataFrame:
-    """Digests that different texts share, by comparing the whole texts of all rows in groups of two or more."""
-    t = normalised(text_of(text))
-    hits = decided.filter("n > 1").select(F.col("doc_id").alias("h_id"), F.col("digest").alias("h_digest"))
-    texts = docs.select(F.col(key).alias("doc_id"), t.alias("t")).withColumn("digest", digest(F.col("t")))
-    texts = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("digest") == F.col("h_digest")), "left_semi")
-    return texts.groupBy("digest").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("digest")
-
-
-def _regroup(docs: DataFrame, decided: DataFrame, false_hits: DataFrame, digest, key: str, text: str) -> DataFrame:
-    """The arrivals of shared digests, grouped by their texts."""
-    t = normalised(text_of(text))
-    rows = decided.join(false_hits, "digest").select("run", "arrival", "doc_id", "digest", "points", F.lit("").alias("locator"))
-    texts = docs.select(F.col(key).alias("t_id"), t.alias("t"), F.length(text_of(text)).alias("t_points")).distinct().withColumn("t_digest", digest(F.col("t")))
-    texts = texts.join(false_hits, F.col("t_digest") == F.col("digest"), "left_semi")
-    rows = rows.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("digest") == F.col("t_digest")) & (F.col("points") == F.col("t_points")))
-    per_text = rows.groupBy(F.col("t").alias("g")).agg(_best().alias("best"), F.count(F.lit(1)).alias("n"))
-    return rows.join(per_text, F.col("t") == F.col("g")).select("run", "arrival", "doc_id", sha256(F.col("t")).alias("digest"), "points", "best", "n")
+    fields = [*_LOCATOR, "doc_id", "digest", "points"]
+    return join_skewed(arrived, groups.select("digest", "best", "n", F.col("n").alias("w")), ["digest"], "w", arrived.count()).select(*fields, "best", "n")
+
+
+def _texts(docs: DataFrame, hits: DataFrame, run: int, key: str, text: str) -> DataFrame:
+    """run, __file, __row, t (normalised) of the hit rows: this run's from ``docs``, earlier ones' from their files."""
+    spark = docs.sparkSession
+    mine = flagged(docs.select("__file", "__row", F.col(text).alias("t")), hits.filter(F.col("run") == run)).filter("__hit")
+    out = mine.select(F.lit(run).alias("run"), "__file", "__row", normalised(text_of("t")).alias("t"))
+    before = hits.filter(F.col("run") != run)
+    for earlier, files in before.groupBy("run").agg(F.collect_set("__file")).collect():  # names of files, as a reader holds them
+        read = anchored(spark.read.parquet(*map(unquote, files)))
+        old = flagged(read.select("__file", "__row", F.col(text).alias("t")), before.filter(F.col("run") == earlier)).filter("__hit")
+        out = out.unionByName(old.select(F.lit(earlier).alias("run"), "__file", "__row", normalised(text_of("t")).alias("t")))
+    return out
 
 
 def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, checkpoint: str | None = None, files_per_batch: int = 64) -> DataFrame:
-    """run, arrival, doc_id, digest, points, best, n: one row per document of this run.
+    """run, __file, __row, doc_id, digest, points, best, n: one row per document of this run.
 
     With ``checkpoint`` the state of earlier runs on that folder counts: n and best cover them too.
-    (Whole texts are compared within a run; those of earlier runs are behind their locators.)
     """
     spark = docs.sparkSession
     root = checkpoint or scratch(spark, "state")
-    arrived = arrivals(docs, f"{root}/arrivals", digest, key, text)
-    groups = cut(run_state(arrived, f"{root}/arrivals", f"{root}/progress", files_per_batch), "groups")
+    docs = _lasting(docs, root) if checkpoint else docs if "__file" in docs.columns else anchored(docs)
+    folder = f"{root}/arrivals"
+    arrived = arrivals(docs, folder, digest, key, text)
+    groups = cut(run_state(arrived, folder, f"{root}/progress", files_per_batch), "groups")
     if checkpoint is None:
         remove(spark, f"{root}/progress")
-    decided = _decide(arrived, groups)
-    false_hits = cut(_false_hits(docs, decided, digest, key, text), "hits")
+    decided = cut(_decide(arrived, groups), "decided")
+    hits = decided.filter("n > 1").select(*_LOCATOR, "doc_id", "digest", "points")
+    mine = decided.agg(F.max("run")).first()[0]
+    if mine is None:
+        return decided
+    if checkpoint:  # the rows of earlier runs that share a digest with one of this
+        seen = hits.select("digest").distinct()
+        old = spark.read.schema(arrived.schema).parquet(folder).filter(F.col("run") < mine).join(seen, "digest", "left_semi")
+        hits = cut(hits.unionByName(old.select(*hits.columns)), "hits")
+    texts = _texts(docs, hits, mine, key, text)
+    false_hits = cut(texts.groupBy(digest(F.col("t")).alias("digest")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("digest"), "hits")
     if false_hits.isEmpty():
         return decided
-    sound = decided.join(false_hits, "digest", "left_anti")
-    return sound.unionByName(_regroup(docs, decided, false_hits, digest, key, text))
+    rows = hits.join(false_hits, "digest", "left_semi")
+    rows = cut(rows.join(_texts(docs, rows, mine, key, text), _LOCATOR), "regroup")
+    per_text = rows.groupBy("t").agg(_best().alias("best"), F.count(F.lit(1)).alias("n"))
+    again = join_skewed(rows, per_text.withColumn("w", F.col("n")), ["t"], "w", rows.count()).filter(F.col("run") == mine)
+    return decided.join(false_hits, "digest", "left_anti").select(*decided.columns).unionByName(again.withColumn("digest", sha256(F.col("t"))).select(*decided.columns))
+
+
+def _lasting(docs: DataFrame, root: str) -> DataFrame:
+    """The anchored documents; those that no parquet file holds are written where the state is kept."""
+    own = anchored(docs)
+    if not any("/relflow-anchor-" in f for f in own.inputFiles()):
+        return own
+    path = f"{root}/content-{time.time_ns()}"
+    docs.write.parquet(path)
+    return anchored(docs.sparkSession.read.parquet(path))
 
 
 def stays() -> Column:
     """Whether a row of ``decisions`` is its group's best."""
-    return (F.col("run") == F.col("best.run")) & (F.col("arrival") == F.col("best.arrival"))
+    return (F.col("run") == F.col("best.run")) & (F.col("__file") == F.col("best.__file")) & (F.col("__row") == F.col("best.__row"))
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of equal texts, columns unchanged."""
-    decided = decisions(docs, key, text)
-    stay = decided.filter(stays()).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("points").alias("__p"))
-    tagged = docs.withColumns({"__digest": sha256(normalised(text_of(text))), "__points": F.length(text_of(text))})
-    same = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d")) & (F.col("__points") == F.col("__p"))
-    left = tagged.join(stay, same, "left_semi")
-    # wholly repeated rows match alike: where there are any, one of each is taken
-    best = decided.filter((F.col("points") == F.col("best.less") * -1) & F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
-    repeated = best.groupBy("doc_id", "digest").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"))
-    repeated = cut(repeated, "repeated")
-    if not repeated.isEmpty():
-        same = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d"))
-        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([key, "__digest"]))
-    return left.drop("__digest", "__points")
+    """One document of each group of equal texts, columns unchanged; no text is shuffled for it."""
+    own, key, text = numbered(docs, key, text)
+    rows = anchored(own)
+    gone = decisions(rows, key, text).filter(~stays())
+    return flagged(rows, gone).filter("not __hit").select(*own.columns).toDF(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
