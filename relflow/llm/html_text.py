@@ -11,6 +11,9 @@ container is kept with those siblings, its own and those of every container arou
 near it or hold few links; bare text beside them stays likewise.
 An <article> (or main) element that holds most of the points is taken as the container.
 
+Pages are scanned once, left to right; what a subtree holds is a range of the blocks, so its sums are
+differences of running sums.  The time is linear in the page whatever its markup.
+
 Defined results: null and empty pages give an empty text; pages are judged one by one, so
 repeated rows repeat their result; an empty table gives none; other columns never enter.
 Malformed markup never fails: unknown end tags are ignored and open elements close at the end.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +32,12 @@ from pyspark.sql import types as T
 
 from .common import table, text_of
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Possessive throughout, so that each character is looked at a bounded number of times.
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTR = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_GAP = re.compile(r"[\s/]*+")
+#: Elements deeper than this become siblings of the deepest open one, as in browsers; walks to ancestors are bounded by it.
+MAX_DEPTH = 512
 _RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "title"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _DROP = set("head nav header footer aside form button select option label fieldset dialog menu object canvas audio video map annotation annotation-xml".split()) | _RAW
@@ -53,24 +61,23 @@ _KEEP = {"html", "body", "article", "main", "root"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "bad", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "depth", "items", "bad", "points", "lo", "hi", "chars", "linked")
 
     def __init__(self, tag, parent, bad=0):
         self.tag, self.parent, self.bad = tag, parent, bad
+        self.depth = 0 if parent is None else parent.depth + 1
         self.items = []
-        self.points = self.chars = self.linked = 0.0
+        self.points = self.lo = self.hi = self.chars = self.linked = 0
 
 
-def _is_bad(tag: str, attrs: str) -> int:
+def _is_bad(tag: str, attrs: list[tuple[str, str]]) -> int:
     """0 for content, 2 for boilerplate, 1 for what a name, a role or a form alone makes boilerplate."""
     if tag in _DROP:
         return 1 if tag == "form" else 2
-    if tag in _KEEP or "=" not in attrs and "hidden" not in attrs:
+    if tag in _KEEP:
         return 0
     bad = 0
-    for m in _ATTR.finditer(attrs):
-        name = m[1].lower()
-        value = m[2] or m[3] or m[4] or ""
+    for name, value in attrs:
         if name in ("class", "id"):
             if not _BAD.isdisjoint(value.lower().replace("_", "-").split()):
                 bad = 1
@@ -78,7 +85,7 @@ def _is_bad(tag: str, attrs: str) -> int:
             return 2
         elif name == "role" and value.lower() in _BAD_ROLE:
             bad = 1
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        elif name == "style" and re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", value, re.I):
             return 2
     return bad
 
@@ -102,81 +109,140 @@ def _spare(root: Node) -> None:
             node.bad = 0
 
 
-def parse(page: str) -> Node:
-    root = now = Node("root", None)
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.match(page, at)
-        if m is None:  # a tag that never ends: the rest is markup
-            break
-        at = m.end()
-        if m[4] is not None:
-            now.items.append(m[4])
-            continue
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "p" or tag == "br":
-                pass
-            up = now
-            while up is not None and up.tag != tag:
+class _Tree:
+    """The open elements of a page that is being read."""
+
+    def __init__(self):
+        self.root = self.now = Node("root", None)
+        self.open: Counter = Counter()
+
+    def push(self, node: Node) -> None:
+        self.open[node.tag] += 1
+        self.now = node
+
+    def pop_to(self, node: Node) -> None:
+        while self.now is not node:
+            self.open[self.now.tag] -= 1
+            self.now = self.now.parent
+
+    def end(self, tag: str) -> None:
+        if self.open[tag]:
+            up = self.now
+            while up.tag != tag:
                 up = up.parent
-            if up is not None and up.parent is not None:
-                now = up.parent
-            continue
+            self.pop_to(up.parent)
+
+    def imply_end(self, tags: set, stop: set) -> None:
+        """Close the nearest of ``tags`` that is open inside the nearest of ``stop``."""
+        if any(self.open[t] for t in tags):
+            up = self.now
+            while up is not self.root and up.tag not in stop:
+                if up.tag in tags:
+                    return self.pop_to(up.parent)
+                up = up.parent
+
+    def start(self, tag: str, attrs: list[tuple[str, str]]) -> bool:
+        """Add an element; whether it is open now."""
         if tag in _ENDS_P:
-            now = _close(now, {"p"}, _STOP["p"])
+            self.imply_end({"p"}, _STOP["p"])
         if tag in _CLOSES:
-            now = _close(now, _CLOSES[tag], _STOP[tag])
-        node = Node(tag, now, _is_bad(tag, m[3]))
-        now.items.append(node)
-        if tag in _VOID or m[3].endswith("/") and tag in ("svg", "math"):
-            continue
-        if tag in _RAW:  # its content is not markup
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else end
-            continue
-        now = node
-    _spare(root)
-    return root
-
-
-def _close(now: Node, tags: set, stop: set) -> Node:
-    up = now
-    while up is not None and up.tag not in stop:
-        if up.tag in tags:
-            return up.parent
-        up = up.parent
-    return now
+            self.imply_end(_CLOSES[tag], _STOP[tag])
+        if self.now.depth >= MAX_DEPTH:
+            self.pop_to(self.now.parent)
+        node = Node(tag, self.now, _is_bad(tag, attrs))
+        self.now.items.append(node)
+        if tag in _VOID or tag in _RAW:
+            return False
+        self.push(node)
+        return True
+
+
+def _start_tag(page: str, at: int) -> tuple[str, list[tuple[str, str]], bool, int] | None:
+    """Name, attributes, whether it closes itself, and the place behind the tag at ``at``; None if it never ends."""
+    m = _NAME.match(page, at + 1)
+    name, at, attrs = m[0].lower(), m.end(), []
+    while m := _ATTR.match(page, at):
+        attrs.append((m[1].lower(), m[2] or m[3] or m[4] or ""))
+        at = m.end()
+    at = _GAP.match(page, at).end()
+    return (name, attrs, page[at - 1] == "/", at + 1) if at < len(page) else None
+
 
+def parse(page: str) -> Node:
+    tree = _Tree()
+    at, end = 0, len(page)
+    while at < end:
+        tag = page.find("<", at)
+        if tag != at:
+            tree.now.items.append(page[at : tag if tag >= 0 else end])
+            if tag < 0:
+                break
+        after = page[tag + 1 : tag + 2]
+        if after in ("!", "?") or after == "/" and not _NAME.match(page, tag + 2):
+            comment = page.startswith("<!--", tag)
+            at = page.find("-->" if comment else ">", tag + 2)
+            if at < 0:
+                break
+            at += 3 if comment else 1
+        elif after == "/":
+            at = page.find(">", tag) + 1
+            if not at:
+                break
+            tree.end(_NAME.match(page, tag + 2)[0].lower())
+        elif _NAME.match(page, tag + 1):
+            got = _start_tag(page, tag)
+            if got is None:  # a tag that never ends: the rest is markup
+                break
+            name, attrs, closed, at = got
+            if not tree.start(name, attrs):
+                if name in _RAW and not closed:  # its content is not markup
+                    at = _after(page, name, at)
+            elif closed and name in ("math", "path"):
+                tree.end(name)
+        else:
+            tree.now.items.append("<")
+            at = tag + 1
+    _spare(tree.root)
+    return tree.root
+
+
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in _RAW}
 
-def _blocks(root: Node):
-    """(text, owner, linked characters) of each block outside boilerplate, in page order."""
-    out, parts, linked = [], [], [0]
-    owner = [root]
+
+def _after(page: str, raw: str, at: int) -> int:
+    got = _END[raw].search(page, at)
+    return got.end() if got else len(page)
+
+
+def _blocks(root: Node) -> list[tuple[str, Node, int]]:
+    """(text, owner, linked characters) of each block outside boilerplate, in page order; sets nodes' ranges (lo, hi)."""
+    out, parts, linked = [], [], 0
+    owners = [root]
 
     def flush():
+        nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, owner[0], min(linked[0], len(text))))
+                out.append((text, owners[-1], min(linked, len(text))))
             parts.clear()
-        linked[0] = 0
+        linked = 0
 
     stack = [(root, 0, False)]  # explicit stack: depth is the page's, not Python's
     while stack:
         node, i, link = stack.pop()
-        if i == 0 and node.tag in _BLOCK:
-            flush()
-            owner[0] = node
+        if i == 0:
+            if node.tag in _BLOCK:
+                flush()
+                owners.append(node)
+            node.lo = len(out)
         if i < len(node.items):
             stack.append((node, i + 1, link))
             item = node.items[i]
             if isinstance(item, str):
                 parts.append(item)
                 if link:
-                    linked[0] += len(item)
+                    linked += len(item)
             elif item.tag == "br":
                 parts.append(" ")
             elif not item.bad:
@@ -185,13 +251,27 @@ def _blocks(root: Node):
                 flush()
             else:
                 parts.append(" " if item.tag not in _RAW else "")
-        elif node.tag in _BLOCK:
-            flush()
-            up = node.parent
-            while up is not None and up.tag not in _BLOCK:
-                up = up.parent
-            owner[0] = up or root
-    flush()
+        else:
+            if node.tag in _BLOCK:
+                flush()
+                owners.pop()
+            node.hi = len(out)
+    return out
+
+
+def points_of(text: str) -> float:
+    """What a block passes on: its length and commas."""
+    return 1 + min(len(text) / 100, 3) + text.count(",") - 0.5 * (len(text) < 25)
+
+
+def _containers(root: Node) -> list[Node]:
+    """All elements that hold a block, in page order."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.hi > node.lo:
+            out.append(node)
+            stack += [x for x in reversed(node.items) if isinstance(x, Node) and not x.bad]
     return out
 
 
@@ -202,64 +282,60 @@ def main_text(page: str | None) -> str:
     blocks = _blocks(root)
     if not blocks:
         return ""
-    scored: dict[int, Node] = {}
-    inside: dict[int, list[int]] = {}
-    for n, (text, owner, linked) in enumerate(blocks):
-        # what a block holds counts towards every container around it
-        up = owner
-        while up is not None:
-            up.chars += len(text)
-            up.linked += linked
-            inside.setdefault(id(up), []).append(n)
-            scored[id(up)] = up
-            up = up.parent
-        points = 1 + min(len(text) / 100, 3) + text.count(",") + (len(text) < 25) * -0.5
+    chars, links = [0], [0]
+    for text, owner, linked in blocks:
+        chars.append(chars[-1] + len(text))
+        links.append(links[-1] + linked)
         holder = owner.parent if owner.parent is not None and owner.tag not in ("div", "section", "article", "main", "body", "root") else owner
+        points = points_of(text)
         holder.points += points
         if holder.parent is not None:
             holder.parent.points += points / 2
-    for node in scored.values():
+    scored = _containers(root)
+    for node in scored:
+        node.chars, node.linked = chars[node.hi] - chars[node.lo], links[node.hi] - links[node.lo]
         node.points *= 1 - node.linked / max(node.chars, 1)
-    best = max(scored.values(), key=lambda x: (x.points, -len(inside[id(x)])))
+    best = max(scored, key=lambda x: (x.points, x.lo - x.hi))
     up = best
-    while up is not None:  # the page's own mark for its content, when the best container is in or around it
-        if up.tag in ("article", "main"):
-            best = up
-            break
+    while up is not None and up.tag not in ("article", "main"):
         up = up.parent
+    if up is not None:  # the page's own mark for its content, when the best container is in or around it
+        best = up
     else:
-        marked = [x for x in scored.values() if x.tag in ("article", "main") and 2 * x.chars >= root.chars]
+        marked = [x for x in scored if x.tag in ("article", "main") and 2 * x.chars >= root.chars]
         if marked:
             best = max(marked, key=lambda x: x.chars)
-    keep = set(inside[id(best)])
+    keep = [best.lo <= n < best.hi for n in range(len(blocks))]
     around, at = set(), best
     while at.parent is not None and at.tag not in ("article", "main", "body"):
         for item in at.parent.items:
-            if isinstance(item, Node) and item is not at and id(item) in scored:
-                density = item.linked / max(item.chars, 1)
-                if item.points >= max(10, best.points * 0.2) or item.tag in _BESIDE and density < 0.25:
-                    keep.update(inside[id(item)])
+            if isinstance(item, Node) and item is not at and not item.bad and item.hi > item.lo:
+                if item.points >= max(10, best.points * 0.2) or item.tag in _BESIDE and item.linked < 0.25 * item.chars:
+                    keep[item.lo : item.hi] = [True] * (item.hi - item.lo)
         at = at.parent
         around.add(id(at))
     for n, (_, owner, linked) in enumerate(blocks):  # bare text of the containers around
         if id(owner) in around and linked == 0:
-            keep.add(n)
-    return "\n\n".join(blocks[n][0] for n in sorted(keep))
+            keep[n] = True
+    return "\n\n".join(text for (text, _, _), stays in zip(blocks, keep, strict=True) if stays)
 
 
 def extract(pages: DataFrame, page: str = "html", out: str = "text") -> DataFrame:
     """The frame with ``out`` (main text) and ``n_chars`` instead of ``page``."""
     rest = [f for f in pages.schema.fields if f.name not in (page, out, "n_chars")]
-    schema = T.StructType([*rest, T.StructField(out, T.StringType()), T.StructField("n_chars", T.LongType())])
+    fields = [*rest, T.StructField(out, T.StringType()), T.StructField("n_chars", T.LongType())]
+    names = [f"c{i}" for i in range(len(fields))]  # whatever the frame's own columns are called
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields, strict=True)])
 
     def run(batches):
         from relflow.llm.html_text import main_text as of
 
         for batch in batches:
             texts = [of(x.as_py()) for x in batch.column(len(rest))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=names)
 
-    return pages.select(*[F.col(f.name) for f in rest], text_of(page).alias("__page")).mapInArrow(run, schema)
+    rows = pages.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, rest, strict=False)], text_of(page).alias("page"))
+    return rows.mapInArrow(run, schema).toDF(*[f.name for f in fields])
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
