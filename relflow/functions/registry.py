@@ -1,7 +1,8 @@
 """Row functions (one output row per input row) and black-box sources, by name.
 
 A row function gets a tuple of Python values and returns a tuple (or one value for a one-column
-result).  It runs Arrow-batched in ``mapInArrow``; a native alternative takes and returns a DataFrame.
+result).  It runs Arrow-batched in ``mapInArrow``; a column function takes whole Arrow columns of a batch and
+returns one column or a tuple of them; a native alternative takes and returns a DataFrame.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ _ARROW = {"INTEGER": pa.int64(), "DOUBLE": pa.float64(), "STRING": pa.string(),
 class Registry:
     def __init__(self):
         self.rows: dict[str, Callable] = {}
+        self.columns: dict[str, Callable] = {}
         self.frames: dict[str, Callable[[DataFrame], DataFrame]] = {}
         self.sources: dict[str, Callable[[SparkSession], DataFrame]] = {}
 
@@ -28,6 +30,11 @@ class Registry:
         self.rows[name] = function
         return self
 
+    def column_function(self, name: str, function: Callable) -> Registry:
+        """A UDF over a batch's Arrow columns, without a Python call per row."""
+        self.columns[name] = function
+        return self
+
     def frame_function(self, name: str, function: Callable[[DataFrame], DataFrame]) -> Registry:
         """A UDF given as DataFrame operations: stays in the JVM."""
         self.frames[name] = function
@@ -41,12 +48,18 @@ class Registry:
         out = [f"{relation}_{i}" for i in range(len(types))]
         if name in self.frames:
             return self.frames[name](df).toDF(*out)
-        if name not in self.rows:
+        whole = name in self.columns
+        if not whole and name not in self.rows:
             raise AnalysisFault(f"no function {name!r} is registered")
-        function, kinds = self.rows[name], [_ARROW[t] for t in types]
+        function, kinds = (self.columns if whole else self.rows)[name], [_ARROW[t] for t in types]
 
         def run(batches):
             for batch in batches:
+                if whole:
+                    made = function(*batch.columns)
+                    made = made if isinstance(made, tuple) else (made,)
+                    yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(made, kinds, strict=True)], names=out)
+                    continue
                 rows = [function(r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
                 rows = [r if isinstance(r, tuple) else (r,) for r in rows]
                 cols = list(zip(*rows, strict=True)) or [()] * len(kinds)

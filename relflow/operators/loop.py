@@ -12,7 +12,6 @@ where they are results of operators rather than plain inputs.
 from __future__ import annotations
 
 import operator
-import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +26,13 @@ _TEST = {"<": operator.lt, "<=": operator.le, "=": operator.eq, "<>": operator.n
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Truncate the plan by a reliable checkpoint; the folder is the session's, or a temporary one in tests."""
+    """Truncate the plan by a reliable checkpoint in the folder that the session names."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="relflow-loop-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise WorkflowFault("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

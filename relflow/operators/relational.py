@@ -105,9 +105,12 @@ def count(node: n.Count, df: DataFrame) -> DataFrame:
 
 
 def extreme(node: n.Extreme, df: DataFrame) -> DataFrame:
-    """The extreme value with the columns carried from its row; ties go by the carried columns."""
+    """The extreme value with the columns carried from its row; ties go by the carried columns.
+
+    Null values are passed over, as in SQL; a group of nulls only gives nulls.
+    """
     df = where(df, node.where)
-    row = F.struct(*[col(df, c).alias(f"c{i}") for i, c in enumerate(node.columns)])
+    row = F.when(col(df, node.columns[0]).isNotNull(), F.struct(*[col(df, c).alias(f"c{i}") for i, c in enumerate(node.columns)]))
     best = _groups(df, node.keys).agg((F.max if node.largest else F.min)(row).alias("best"))
     keys = [F.col(f"k{i}") for i in range(max(1, len(node.keys)))]
     return named(best.select(*keys, *[F.col(f"best.c{i}").alias(f"c{i}") for i in range(len(node.columns))]), node.name)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import relation
 from .functions.registry import Registry
-from .sources.catalog import types_of
+from .sources.catalog import Catalog, save, types_of
 from .vertex import OUTNUM, vertex_program
-from .workflow import query
+from .workflow import Workflow, query
 
 #: relation name -> (table, scalar columns in order)
 TABLES = {
@@ -162,21 +165,20 @@ work(
 )
 
 # -- workloads ---------------------------------------------------------------------------------
-work("shoppers", "log", "SELECT [log_0, log_1, log_2, log_3] FROM (log) WHERE [(log_1 = 1)] AS us, AGG [us_3, +] FROM (us) GROUP BY [us_0] AS spend, SELECT [spend_0, spend_1] FROM (spend) WHERE [(spend_1 > 300000)] AS x", "x", "ckey spent", "SELECT o_custkey AS ckey, round(sum(o_totalprice), 2) AS spent FROM orders WHERE o_orderstatus = 'O' GROUP BY 1 HAVING sum(o_totalprice) > 300000", {"spent": 2})
+work("shoppers", "log", "PROJECT [spend_0, spend_1] FROM (AGG [log_3, +] FROM (log) WHERE [(log_1 = 1)] GROUP BY [log_0] AS spend) WHERE [(spend_1 > 250000)] AS x", "x", "ckey spent", "SELECT o_custkey AS ckey, round(sum(o_totalprice), 2) AS spent FROM orders WHERE o_orderstatus = 'O' GROUP BY 1 HAVING sum(o_totalprice) > 250000", {"spent": 2})
+# what else to offer a customer: parts bought together with theirs, weighed by how often and how much
 work(
     "recommender", "li o p",
-    """(li) JOIN (o) ON li_0 AND o_0 AS lo, PROJECT [lo_1, lo_10, lo_4] FROM (lo) AS bought, AGG [bought_2, +] FROM (bought) GROUP BY [bought_0, bought_1] AS ratings,
-    PROJECT [p_0, p_4] FROM (p) WHERE [(p_4 < 3)] AS small,
-    (ratings) JOIN (small) ON ratings_0 AND small_0 AS rated, PROJECT [rated_0, rated_1, rated_2] FROM (rated) AS likes, PROJECT [likes_1, likes_0, likes_2] FROM (likes) AS turned,
-    (likes) JOIN (turned) ON likes_1 AND turned_0 AS mat, MUL [mat_2, mat_4] FROM (mat) AS prod, PROJECT [prod_0, prod_2, prod_3] FROM (prod) AS cells,
-    AGG [cells_1, +] FROM (cells) GROUP BY [cells_0, cells_2] AS inner,
-    (inner) JOIN (likes) ON inner_0 AND likes_0 AS again, MUL [again_2, again_4] FROM (again) AS prod2, PROJECT [prod2_0, prod2_2, prod2_3] FROM (prod2) AS cells2,
-    AGG [cells2_1, +] FROM (cells2) GROUP BY [cells2_0, cells2_2] AS predicted, MAXIMUM [predicted_2] FROM (predicted) GROUP BY [predicted_1] AS best""",
-    "best", "ckey score",
-    """WITH likes AS (SELECT l_partkey AS m, o_custkey AS u, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size < 3 GROUP BY 1, 2),
-    inn AS (SELECT a.m AS m, b.m AS m2, sum(a.q * b.q) AS v FROM likes a JOIN likes b ON a.u = b.u GROUP BY 1, 2),
-    pred AS (SELECT i.m AS m, l.u AS u, sum(i.v * l.q) AS v FROM inn i JOIN likes l ON i.m = l.m GROUP BY 1, 2)
-    SELECT u AS ckey, max(v) AS score FROM pred GROUP BY 1""",
+    """(PROJECT [p_0] FROM (p) WHERE [(p_4 < 3)] AS small) JOIN (li) ON small_0 AND li_1 AS line,
+    AGG [sale_4, +] FROM ((line) JOIN (o) ON line_1 AND o_0 AS sale) GROUP BY [sale_10, sale_0] AS basket,
+    COUNT [both_0] FROM ((basket) JOIN (PROJECT [basket_0, basket_1] FROM (basket) AS other) ON basket_0 AND other_0 AS both) GROUP BY [both_1, both_3] AS together,
+    AGG [weight_2, +] FROM (MUL [offer_2, offer_4] FROM ((basket) JOIN (together) ON basket_1 AND together_0 AS offer) AS weight) GROUP BY [weight_0, weight_3] AS score,
+    MAXIMUM [score_2, score_1] FROM (score) GROUP BY [score_0] AS best""",
+    "best", "ckey score pkey",
+    """WITH basket AS (SELECT o_custkey AS u, l_partkey AS m, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size < 3 GROUP BY 1, 2),
+    together AS (SELECT a.m AS m, b.m AS m2, count(*) AS n FROM basket a JOIN basket b ON a.u = b.u GROUP BY 1, 2),
+    score AS (SELECT u, m2, sum(q * n) AS s FROM basket JOIN together USING (m) GROUP BY 1, 2)
+    SELECT u AS ckey, x.s AS score, x.m2 AS pkey FROM (SELECT u, max({'s': s, 'm2': m2}) AS x FROM score GROUP BY 1)""",
 )
 work(
     "tpch17_like", "li p",
@@ -188,18 +190,18 @@ work(
     """WITH f AS (SELECT l_partkey AS k, 0.2::DOUBLE * (sum(l_quantity) / count(*)) AS lim FROM lineitem GROUP BY 1)
     SELECT l_partkey AS pkey, l_quantity AS qty, l_extendedprice AS price FROM lineitem JOIN f ON l_partkey = k JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#13' AND l_quantity > lim""",
 )
-_PAGERANK = """COUNT [edges_1] FROM (edges) GROUP BY [edges_0] AS degree, (edges) JOIN (degree) ON edges_0 AND degree_0 AS out,
-    WHILE [(it_0 < 5)] DO ((out) JOIN (pr) ON out_0 AND pr_0 AS step, DIV [step_3, step_2] FROM (step) AS share, PROJECT [share_1, share_3] FROM (share) AS sent,
-    AGG [sent_1, +] FROM (sent) GROUP BY [sent_0] AS got, MUL [0.85, got_1] FROM (got) AS damped, SUM [0.15, damped_1] FROM (damped) AS pr, SUM [it_0, 1] FROM (it) AS it)"""
+#: Each edge's share of its source's rank is worked out once; a pass moves ranks along the edges.
+_PAGERANK = """DIV [0.85, linked_2] FROM ((edges) JOIN (COUNT [edges_1] FROM (edges) GROUP BY [edges_0] AS fan) ON edges_0 AND fan_0 AS linked) AS flow,
+    WHILE [(it_0 < 4)] DO (SUM [0.15, inflow_1] FROM (AGG [moved_2, +] FROM (MUL [carry_2, carry_3] FROM ((flow) JOIN (pr) ON flow_0 AND pr_0 AS carry) AS moved) GROUP BY [moved_1] AS inflow) AS pr, SUM [it_0, 1] FROM (it) AS it)"""
 
 
 def _unrolled(passes: int) -> str:
-    out = ["WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 100 + 1 AS t FROM lineitem), d AS (SELECT s, count(*) AS n FROM e GROUP BY 1), p0 AS (SELECT s_suppkey AS v, 1.0::DOUBLE AS x FROM supplier)"]
-    out += [f"p{i + 1} AS (SELECT e.t AS v, 0.15 + 0.85 * sum(p{i}.x / d.n) AS x FROM e JOIN d ON e.s = d.s JOIN p{i} ON p{i}.v = e.s GROUP BY 1)" for i in range(passes)]
+    out = ["WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 100 + 1 AS t FROM lineitem), d AS (SELECT s, 0.85::DOUBLE / count(*) AS w FROM e GROUP BY 1), p0 AS (SELECT s_suppkey AS v, 1.0::DOUBLE AS x FROM supplier)"]
+    out += [f"p{i + 1} AS (SELECT e.t AS v, 0.15 + sum(p{i}.x * d.w) AS x FROM e JOIN d ON e.s = d.s JOIN p{i} ON p{i}.v = e.s GROUP BY 1)" for i in range(passes)]
     return ", ".join(out) + f" SELECT v AS vertex, round(x, 6) AS rank FROM p{passes}"
 
 
-work("pagerank", "edges pr it", _PAGERANK, "pr", "vertex rank", _unrolled(5), {"rank": 6})
+work("pagerank", "edges pr it", _PAGERANK, "pr", "vertex rank", _unrolled(4), {"rank": 6})
 work(
     "sssp", "costs dist it",
     """WHILE [(it_0 < 4)] DO ((costs) JOIN (dist) ON costs_0 AND dist_0 AS ev, SUM [ev_3, ev_2] FROM (ev) AS far, PROJECT [far_1, far_3] FROM (far) AS cand, (cand) UNION (dist) AS either,
@@ -209,7 +211,8 @@ work(
     + ", ".join(f"v{i + 1} AS (SELECT v, min(x) AS x FROM (SELECT t AS v, x + w AS x FROM e JOIN v{i} ON s = v UNION ALL SELECT v, x FROM v{i}) GROUP BY 1)" for i in range(4))
     + " SELECT v AS vertex, CAST(x AS BIGINT) AS distance FROM v4",
 )
-work("udf_rowsum", "li", "PROJECT [li_0, li_1, li_2] FROM (li) AS t, UDF /functions/row RowSum ON t AS x WITH COLUMNS (INTEGER)", "x", "total", "SELECT l_orderkey + l_partkey + l_suppkey AS total FROM lineitem", registry=Registry().row_function("RowSum", sum))
+work("udf_rowsum", "li", "PROJECT [li_0, li_1, li_2] FROM (li) AS t, UDF /functions/row RowSum ON t AS x WITH COLUMNS (INTEGER)", "x", "total", "SELECT l_orderkey + l_partkey + l_suppkey AS total FROM lineitem", registry=Registry().column_function("RowSum", lambda *columns: functools.reduce(pc.add, columns)))
+work("udf_rowsum_rows", "n", "PROJECT [n_0, n_2] FROM (n) AS t, UDF /functions/row RowSum ON t AS x WITH COLUMNS (INTEGER)", "x", "total", "SELECT n_nationkey + n_regionkey AS total FROM nation", registry=Registry().row_function("RowSum", sum))
 
 
 # -- the other front ends ----------------------------------------------------------------------
@@ -245,9 +248,49 @@ def black_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(spark, program, {}, "x", ["region", "n"], registry)
 
 
+def linq_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table("o")(spark, sf_dir)
+    q = relation("o", *types_of(o))
+    return q.where(q[2] == "F").select_many().count().to(spark, o=o).toDF("n")
+
+
+def linq_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table("c")(spark, sf_dir)
+    q = relation("c", *types_of(c))
+    return q.min(3, 0).concat(q.max(3, 0)).to(spark, c=c).toDF("k", "bal", "ckey")
+
+
+def _stored(spark: SparkSession, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root.rstrip('/')}/relflow-{name}-{uuid.uuid4().hex}"
+
+
+def _leaf(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    """A workflow's inputs from stored files and its leaf to stored files, read again."""
+    root, s = _stored(spark, form), _table("s")(spark, sf_dir)
+    save(s.select("s_suppkey", "s_nationkey", "s_acctbal"), f"{root}/in", form)
+    catalog = Catalog(spark)
+    kinds = ["INTEGER", "INTEGER", "DOUBLE"]
+    catalog.text("s", f"{root}/in", kinds) if form == "text" else catalog.parquet("s", f"{root}/in")
+    program = "CREATE RELATION s WITH COLUMNS (INTEGER, INTEGER, DOUBLE), AGG [s_2, +] FROM (s) WHERE [(s_2 > 0)] GROUP BY [s_1] AS x"
+    Workflow(program).save(catalog, f"{root}/out", form)
+    back = Catalog(spark)
+    got = back.text("x", f"{root}/out/x", ["INTEGER", "DOUBLE"]) if form == "text" else back.parquet("x", f"{root}/out/x")
+    return got.frames["x"].toDF("nation", "bal").withColumn("bal", F.round("bal", 2))
+
+
+_LEAF = "SELECT CAST(s_nationkey AS BIGINT) AS nation, round(sum(s_acctbal), 2) AS bal FROM supplier WHERE s_acctbal > 0 GROUP BY 1"
+
+
 API = {
     "linq_pipeline": (linq_pipeline, "SELECT c_mktsegment AS segment, round(sum(o_totalprice), 2) AS price FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 50000 AND NOT o_orderstatus = 'P' GROUP BY 1"),
     "linq_sets": (linq_sets, "SELECT DISTINCT nation FROM (SELECT c_nationkey AS nation FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_nationkey < 12) UNION ALL SELECT s_nationkey FROM supplier WHERE s_nationkey > 20) WHERE nation NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey = 3) ORDER BY 1"),
+    "linq_count": (linq_count, "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'"),
+    "linq_min_max": (linq_min_max, "SELECT 'ALL' AS k, m.a AS bal, m.b AS ckey FROM (SELECT min({'a': c_acctbal, 'b': c_custkey}) AS m FROM customer UNION ALL SELECT max({'a': c_acctbal, 'b': c_custkey}) FROM customer)"),
+    "leaf_text": (lambda spark, sf_dir: _leaf(spark, sf_dir, "text"), _LEAF),
+    "leaf_parquet": (lambda spark, sf_dir: _leaf(spark, sf_dir, "parquet"), _LEAF),
     "vertex_pagerank": (vertex_pagerank, _unrolled(5)),
     "vertex_sssp": (vertex_sssp, WORK["sssp"].sql),
     "black_box": (black_box, "SELECT CAST(n_regionkey AS BIGINT) AS region, count(*) AS n FROM nation GROUP BY 1"),

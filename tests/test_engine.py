@@ -31,6 +31,17 @@ def test_explain_command(tmp_path, capsys):
     assert "digraph" in capsys.readouterr().out
 
 
+def test_command_with_parameters_functions_and_parquet(spark, tmp_path, monkeypatch):
+    (tmp_path / "work_functions.py").write_text("from relflow.functions.registry import Registry\nimport pyarrow.compute as pc\nregistry = Registry().column_function('Twice', lambda a, b: (a, pc.multiply(b, 2)))\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.createDataFrame([(1, 5), (2, 50)], "a long, b long").write.parquet(str(tmp_path / "in" / "t"))
+    (tmp_path / "w.txt").write_text("CREATE RELATION t WITH COLUMNS (INTEGER, INTEGER), SELECT [t_0, t_1] FROM (t) WHERE [(t_1 > {{least}})] AS big, UDF /f Twice ON big AS x WITH COLUMNS (INTEGER, INTEGER)")
+    assert cli.main(["run", str(tmp_path / "w.txt"), "--input-dir", str(tmp_path / "in"), "--output-dir", str(tmp_path / "out"), "--format", "parquet", "--input-format", "parquet", "--param", "least=9", "--registry", "work_functions:registry"]) == 0
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "x")).collect()] == [(2, 100)]
+    with pytest.raises(AnalysisFault):
+        cli.main(["explain", str(tmp_path / "w.txt")])
+
+
 def test_declared_types_must_fit(spark):
     with pytest.raises(AnalysisFault):
         Workflow(TEXT).run(Catalog(spark).frame("e", spark.range(1)))

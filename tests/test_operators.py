@@ -66,6 +66,10 @@ def test_extremes(spark):
     assert run(spark, head + "MINIMUM [t_1, t_2] FROM (t) AS x", "x", t=t) == [("ALL", 4, 99)]
     n = spark.createDataFrame([("k", -2.0), ("k", -1.0)], "k string, v double")
     assert run(spark, "CREATE RELATION n WITH COLUMNS (STRING, DOUBLE), MAXIMUM [n_1] FROM (n) GROUP BY [n_0] AS x", "x", n=n) == [("k", -1.0)]
+    nulls = spark.createDataFrame([("k", None, 1), ("k", 5, 2), ("m", None, 3)], "k string, a int, b int")
+    for word in ("MINIMUM", "MAXIMUM"):
+        got = run(spark, head + f"{word} [t_1, t_2] FROM (t) GROUP BY [t_0] AS x", "x", t=nulls)
+        assert sorted(got) == [("k", 5, 2), ("m", None, None)]
 
 
 def test_empty_global_aggregates(spark):
