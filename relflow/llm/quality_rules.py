@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade, all in native column expressions.
 
 Every rule is a boolean column that is true for a document to reject.  ``plan_cascade``
-times each rule and counts what it rejects on a small sample; the cascade then runs the
-rules by rejections per second, most first, in one CASE expression, which Spark evaluates
-lazily, so a rejected document never pays for the rules after the one that caught it.
-The order changes the cost only: the verdict is the OR of all rules in any order.
+times each rule and sees what it rejects on a small sample; the cascade then runs the rules by
+rejections per second, most first, each counted over what the rules before it leave, in one CASE
+expression, which Spark evaluates lazily, so a rejected document never pays for the rules after
+the one that caught it.  The order changes the cost only: the verdict is the OR of all rules in any
+order (``rejected_by`` names the first one met, the base rules before the others).
 
 Defined results: null text counts as empty and is rejected (too few words); the row stays in
 ``annotate`` and goes in ``keep``.  Rows are judged one by one, so repeated rows, ties and
@@ -48,10 +49,9 @@ _PLACE_BITS = 20
 def repeat_words(ws: Column) -> Column:
     """Words covered by three-word windows that the text holds at least twice.
 
-    Windows become 64-bit hashes (within one text of 10^6 windows a collision has odds of
-    3e-8).  Equal ones are found by sorting longs that hold 44 bits of the hash and the place;
-    neighbours that agree in 44 bits are compared in full, and a text where one such pair
-    differs, or with over 2^20 windows, is settled by sorting (hash, place) pairs instead.
+    Windows are sorted as longs of 44 bits of their hash and their place; neighbours that agree in the
+    bits are compared word by word.  A text where such a pair differs, or with over 2^20 windows, is
+    settled by sorting the windows' words themselves.
     """
     zero, low = F.lit(0).cast("long"), (1 << _PLACE_BITS) - 1
     mask = F.lit(low).cast("long")
@@ -62,35 +62,37 @@ def repeat_words(ws: Column) -> Column:
         nxt = F.slice(F.concat(F.slice(at, 2, F.size(at)), F.array(F.lit(2**62))), 1, F.size(at))
         return F.aggregate(F.zip_with(at, nxt, lambda a, b: F.least(b - a, F.lit(3).cast("long"))), zero, lambda s, x: s + x)
 
-    def by_pairs(hs: Column) -> Column:
+    def by_words(w: Column) -> Column:
         def places(ps: Column) -> Column:
+            same = lambda p, q: (p["a"] == q["a"]) & (p["b"] == q["b"]) & (p["c"] == q["c"])
+
             def hit(p: Column, i: Column) -> Column:
-                return (F.get(ps, i - 1)["h"] == p["h"]) | (F.get(ps, i + 1)["h"] == p["h"])
+                return F.coalesce(same(F.get(ps, i - 1), p), F.lit(False)) | F.coalesce(same(F.get(ps, i + 1), p), F.lit(False))
+
+            return F.sort_array(F.transform(F.filter(ps, hit), lambda p: p["i"].cast("long")))
 
-            return F.sort_array(F.transform(F.filter(ps, lambda p, i: F.coalesce(hit(p, i), F.lit(False))), lambda p: p["i"].cast("long")))
+        windows = F.transform(F.slice(w, 1, F.size(w) - 2), lambda a, i: F.struct(a.alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")))
+        return bind(bind(F.sort_array(windows), places), covered)
 
-        return bind(bind(F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), places), covered)
+    def by_longs(w: Column) -> Column:
+        hashes = F.transform(F.slice(w, 1, F.size(w) - 2), lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(high).bitwiseOR(i.cast("long")))
 
-    def by_longs(hs: Column) -> Column:
         def settle(s: Column) -> Column:
             near = F.filter(F.transform(s, lambda x, i: F.when(x.bitwiseXOR(F.get(s, i + 1)).bitwiseAND(high) == 0, i)), lambda i: i.isNotNull())
 
             def of(at: Column) -> Column:
                 first = lambda i: F.get(s, i).bitwiseAND(mask)
                 second = lambda i: F.get(s, i + 1).bitwiseAND(mask)
-                wrong = F.exists(at, lambda i: F.get(hs, first(i).cast("int")) != F.get(hs, second(i).cast("int")))
+                unlike = lambda i, k: F.get(w, first(i).cast("int") + k) != F.get(w, second(i).cast("int") + k)
+                wrong = F.exists(at, lambda i: unlike(i, 0) | unlike(i, 1) | unlike(i, 2))
                 places = F.sort_array(F.array_distinct(F.concat(F.transform(at, first), F.transform(at, second))))
-                return F.when(F.size(at) == 0, zero).when(wrong, by_pairs(hs)).otherwise(bind(places, covered))
+                return F.when(F.size(at) == 0, zero).when(wrong, by_words(w)).otherwise(bind(places, covered))
 
             return bind(near, of)
 
-        return bind(F.sort_array(F.transform(hs, lambda h, i: h.bitwiseAND(high).bitwiseOR(i.cast("long")))), settle)
-
-    def of(w: Column) -> Column:
-        hashes = F.transform(F.slice(w, 1, F.size(w) - 2), lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)))
-        return bind(hashes, lambda hs: F.when(F.size(hs) > low, by_pairs(hs)).otherwise(by_longs(hs)))
+        return bind(F.sort_array(hashes), settle)
 
-    return F.when(F.size(ws) < 4, zero).otherwise(bind(ws, of))
+    return F.when(F.size(ws) < 4, zero).otherwise(bind(ws, lambda w: F.when(F.size(w) > low, by_words(w)).otherwise(by_longs(w))))
 
 
 #: Signals of the words (an array that is split once) and of the text.
@@ -135,23 +137,55 @@ def default_rules(min_words: int = 50, max_repeat_pct: int = 50, max_symbol_pct:
     ]
 
 
-def plan_cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) on the sample, in the order to run: rejections per second."""
+@dataclass(frozen=True)
+class Planned:
+    rule: Rule
+    seconds: float  # on the sample, the job itself taken off
+    rejects: float  # the share of the sample that reaches the rule and is rejected by it
+
+
+def plan_cascade(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS, repeats: int = 3) -> list[Planned]:
+    """The rules in the order to run.
+
+    The sample is drawn from all files.  A rule costs the least of some timed runs over it, less that of
+    a job that tests nothing.  Then the rule of most rejections per second comes first, and again among
+    the rules and documents left.
+    """
     rules = rules or default_rules()
-    # take() reads the first files only; both bounds together bound what the driver holds
-    rows = docs.select(text_of(text).alias("__t")).filter(F.length("__t") <= SAMPLE_POINTS).take(sample_rows)
-    if not rows:
-        return [(r, 0.0, 0.0) for r in rules]
-    sample, total = docs.sparkSession.createDataFrame(rows, "__t string").persist(), len(rows)
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    rows = docs.select(text_of(text).alias("__t")).sample(share, seed=1).filter(F.length("__t") <= SAMPLE_POINTS).coalesce(4)
+    sample = rows.persist()
     try:
-        found = []
-        for rule in rules:
-            began = time.perf_counter()
-            n = sample.filter(_verdict([rule], F.col("__t")).isNotNull()).count()
-            found.append((rule, time.perf_counter() - began, n / total))
+        sample.count()
+
+        def seconds(test: Column) -> float:
+            runs = []
+            for _ in range(repeats):
+                began = time.perf_counter()
+                sample.filter(test).count()
+                runs.append(time.perf_counter() - began)
+            return min(runs)
+
+        tests = [_verdict([rule], F.col("__t")).isNotNull() for rule in rules]
+        idle = seconds(F.length("__t") < 0)
+        costs = [max(seconds(t) - idle, 1e-4) for t in tests]
+        # rules by document, a few bits for each row of the sample
+        hits = [list(r) for r in sample.select(*[t.alias(f"r{i}") for i, t in enumerate(tests)]).collect()]
     finally:
         sample.unpersist()
-    return sorted(found, key=lambda x: -x[2] / max(x[1], 1e-6))
+    return order_rules(rules, costs, hits)
+
+
+def order_rules(rules: list[Rule], costs: list[float], hits: list[list[bool]]) -> list[Planned]:
+    """Greedy: the most rejections per cost among the documents that are left, until no rule is."""
+    total, left, out = max(1, len(hits)), list(range(len(rules))), []
+    while left:
+        found = {i: sum(h[i] for h in hits) for i in left}
+        best = max(left, key=lambda i: (found[i] / costs[i], -costs[i], -i))
+        out.append(Planned(rules[best], costs[best], found[best] / total))
+        left.remove(best)
+        hits = [h for h in hits if not h[best]]
+    return out
 
 
 def _first_hit(order: list[Rule], signals: Signals) -> Column:
@@ -169,25 +203,25 @@ def _verdict(order: list[Rule], text: Column) -> Column:
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, columns unchanged; each stops at its first failing rule."""
-    order = [r for r, _, _ in plan_cascade(docs, rules, text)]
+    order = [p.rule for p in plan_cascade(docs, rules, text)]
     return docs.filter(_verdict(order, text_of(text)).isNull())
 
 
 def annotate(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """All rows with the five signals, base_failed, kept and rejected_by (the cascade's first hit)."""
     rules = rules or default_rules()
-    order = [r for r, _, _ in plan_cascade(docs, rules, text)]
+    order = [p.rule for p in plan_cascade(docs, rules, text)]
     t = text_of(text)
     df = docs.withColumns({f"__{name}": of(t) for name, of in _OF_TEXT.items()})
     packed = bind(words(t), lambda w: F.struct(*[of(w).alias(name) for name, of in _OF_WORDS.items()]))
     df = df.withColumn("__w", packed).withColumns({f"__{name}": F.col(f"__w.{name}") for name in _OF_WORDS}).drop("__w")
     signals = Signals(t)
-    base = F.lit(False)
-    for rule in rules:
-        if rule.base:
-            base = base | rule.rejects(signals)
-    df = df.withColumns({"__base": base, "__hit": _first_hit(order, signals)})
-    outs = {**{s: F.col(f"__{s}") for s in SIGNALS}, "base_failed": F.col("__base"), "kept": ~F.col("__base") & F.col("__hit").isNull(), "rejected_by": F.col("__hit")}
+    # the base verdict comes of signals that are computed anyway; the rules beside it run only where it passes
+    base = _first_hit([r for r in order if r.base], signals)
+    more = _first_hit([r for r in order if not r.base], signals)
+    df = df.withColumn("__base", F.lit(None).cast("string") if base is None else base)
+    df = df.withColumn("__hit", F.coalesce("__base", F.lit(None).cast("string") if more is None else more))
+    outs = {**{s: F.col(f"__{s}") for s in SIGNALS}, "base_failed": F.col("__base").isNotNull(), "kept": F.col("__hit").isNull(), "rejected_by": F.col("__hit")}
     return df.withColumns(outs).drop(*[f"__{s}" for s in SIGNALS], "__base", "__hit")
 
 
