@@ -111,11 +111,14 @@ def expand(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     return ordered.select("conv_id", "role", "text").mapInArrow(run, schema)
 
 
-def read_back(examples: DataFrame) -> DataFrame:
+def read_back(examples: DataFrame, ordered: bool = True) -> DataFrame:
     """Per conversation, from the formatted examples alone: the turns and everything under the loss mask.
 
-    ``examples`` as ``expand`` gives them: a conversation's rows together and in order.
+    ``examples`` as ``expand`` gives them, a conversation's rows together and in order; with ``ordered`` off
+    (a table that was stored) they are put so first.
     """
+    if not ordered:
+        examples = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
     kind = examples.schema["conv_id"].dataType
     schema = T.StructType([T.StructField("conv_id", kind), T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType()), T.StructField("n_examples", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -9,7 +9,9 @@
 3. Certify: dual feasible functions bound each part's bin count from below.  A part whose count
    equals its bound is optimal by itself and gives up only its least filled bin; a part with a
    gap gives up every bin with room.  The documents of those bins are exchanged: dealt anew over
-   at most half as many parts and packed again, until one part is left or ``ROUNDS`` have run.
+   at most half as many parts and packed again, until one part is left (so as many rounds as the
+   number of parts has binary digits, each over what the last left loose).  ``certificate`` gives the
+   bins used and the bound over all pieces.
 
 Only the slim piece rows (no texts or ids) are shuffled.  Defined results: null and empty texts
 are one piece holding id 1; repeated rows and ids are packed as rows of their own; an empty
@@ -22,6 +24,7 @@ import bisect
 import re
 import zlib
 from array import array
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -37,7 +40,6 @@ CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 PART_TOKENS = 4_096 * 4_096
-ROUNDS = 6
 _CACHE_ENTRIES = 300_000
 
 
@@ -224,9 +226,11 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     f_k drops items of at most k, counts those over capacity - k as whole bins and the rest by
     size; u_j rounds (j + 1) x / capacity down to whole j-ths except where it is whole already.
     """
-    if not lengths.size:
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """``lower_bound`` from the number of pieces of each length."""
     sizes = np.arange(capacity + 1)
     mass = np.cumsum(counts * sizes)
     many = np.cumsum(counts)
@@ -242,7 +246,7 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-_PACKED = "doc_id {key}, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, loose boolean"
+_PACKED = "doc_id {key}, piece int, start long, length long, ids_crc32 long, uid long, part long, bin long, offset long, loose boolean"
 
 
 def _pack_part(df: pd.DataFrame, capacity: int) -> pd.DataFrame:
@@ -257,24 +261,25 @@ def _pack_part(df: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def _pack(rows: DataFrame, parts: int, key_type: str, capacity: int, salt: int) -> DataFrame:
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece", "ids_crc32", "start"), F.lit(parts)).cast("long"))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(salt), "uid"), F.lit(parts)).cast("long"))
     return dealt.groupBy("part").applyInPandas(lambda df: _pack_part(df, capacity), _PACKED.format(key=key_type))
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, part_tokens: int = PART_TOKENS, rounds: int = ROUNDS) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, part_tokens: int = PART_TOKENS) -> DataFrame:
     """pieces -> pieces with sequence_id and offset."""
-    found = cut(found, "pieces")
+    # the number tells repeated rows apart, so that they are dealt over all parts
+    found = cut(found.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     key_type = found.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     tokens = found.filter(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
-    full = found.filter(F.col("length") >= capacity).select(*names, F.lit(0).alias("round"), F.xxhash64("doc_id", "piece").alias("part"), F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"))
-    done = [cut(full.withColumn("part", F.lit(-1).cast("long")), "full")]
+    full = found.filter(F.col("length") >= capacity).select(*names, F.lit(0).alias("round"), F.lit(-1).cast("long").alias("part"), F.col("uid").alias("bin"), F.lit(0).cast("long").alias("offset"))
+    done = [full]
     rest = found.filter(F.col("length") < capacity)
     parts = max(1, -(-tokens // part_tokens))
-    for n in range(1, rounds + 1):
-        packed = cut(_pack(rest.select(*names), int(parts), key_type, capacity, n), "packed")
+    for n in count(1):
+        packed = cut(_pack(rest.select(*names, "uid"), int(parts), key_type, capacity, n), "packed")
         keep = lambda df, n=n: df.select(*names, F.lit(n).alias("round"), "part", "bin", "offset")
-        if parts == 1 or n == rounds:
+        if parts == 1:
             done.append(keep(packed))
             break
         done.append(keep(packed.filter("not loose")))
@@ -289,5 +294,14 @@ def pack(found: DataFrame, capacity: int = CAPACITY, part_tokens: int = PART_TOK
     return out.select(*names, number.alias("sequence_id"), "offset")
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:
+    """bins used, the least number that any packing of all pieces needs, and the gap between them."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in packed.groupBy("length").count().collect():  # a row per length at most
+        counts[length] = n
+    bins, bound = packed.filter("offset = 0").count(), bound_of(counts, capacity)
+    return {"bins": bins, "bound": bound, "gap": bins - bound}
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

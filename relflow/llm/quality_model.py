@@ -3,7 +3,7 @@
 Text view: shares of character classes and of their adjacent pairs, word and line statistics,
 hashed words.  Metadata view: hashed source and language and the length the page declares.
 Both are logistic models trained here on at most ``MAX_LABELLED`` labelled documents (those of
-smallest id hash), 60 % to fit and 40 % to calibrate.  Over ``ROUNDS`` rounds each view labels
+smallest id hash), 60 % to fit, 20 % to calibrate and 20 % that only figures are taken from.  Over ``ROUNDS`` rounds each view labels
 its most confident documents of all unlabelled ones for the other: their features are written
 once, every round scores them in a distributed pass per view (a histogram of confidence gives the
 place of the cut) and fits by Newton steps whose gradients and Hessians are summed per task.
@@ -12,7 +12,7 @@ pseudo-labels together weigh at most half of the labels, however many they are.
 Each view is then calibrated (Platt) and the calibrated log-odds are stacked on the held-out part.
 All documents are scored in one pass; the weights sent along have a fixed size.
 
-``kept`` uses the score at which at most ``LOSE`` of the held-out good documents fall away.
+``kept`` uses the score at which at most ``LOSE`` of the calibrating good documents fall away.
 
 Defined results: null text and metadata count as empty, null n_chars as zero; labels with a null
 id or quality are ignored, repeated ones take the largest; no labelled document, in the sample or
@@ -322,19 +322,28 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     if len(y) < 20 or y.min() == y.max():
         return {"prior": float(y.mean()) if len(y) else 0.5}
     text, meta = stack("t"), stack("m")
-    held = h % 5 >= 3
-    fitted = ~held
+    held, fresh = h % 5 == 3, h % 5 == 4
+    fitted = ~held & ~fresh
     if len(set(y[fitted])) < 2 or len(set(y[held])) < 2:
         held = fitted = np.ones(len(y), bool)
     pool = cut(unlabelled(docs, labels), "unlabelled")
     models, told = cotrain([text[fitted], meta[fitted]], y[fitted], pool)
     drop(pool)
-    z = [logits(v[held], m) for v, m in zip((text, meta), models, strict=True)]
-    platt = [fit(a[:, None].astype(np.float32), y[held].astype(float), ridge=0.01) for a in z]
-    calibrated = np.stack([logits(a[:, None], p) for a, p in zip(z, platt, strict=True)], 1)
-    top = fit(calibrated, y[held].astype(float), ridge=0.1)
-    score = _sigmoid(logits(calibrated, top))
-    return {"models": models, "platt": platt, "top": top, "threshold": float(min(0.5, np.quantile(score[y[held] == 1], LOSE))), "held_out": (score, y[held]), "told": told}
+    views = [logits(v, m) for v, m in zip((text, meta), models, strict=True)]
+    platt, top = calibrate([z[held] for z in views], y[held])
+    score = combine(views, platt, top)
+    threshold = float(min(0.5, np.quantile(score[held & (y == 1)], LOSE)))
+    return {"models": models, "platt": platt, "top": top, "threshold": threshold, "held_out": (score[fresh], y[fresh]), "told": told}
+
+
+def calibrate(views: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Platt's fit of each view's log-odds to held-out labels, and the stack of the calibrated ones."""
+    platt = [fit(z[:, None].astype(np.float32), y.astype(float), ridge=0.01) for z in views]
+    return platt, fit(np.stack([logits(z[:, None], p) for z, p in zip(views, platt, strict=True)], 1), y.astype(float), ridge=0.1)
+
+
+def combine(views: list[np.ndarray], platt: list[np.ndarray], top: np.ndarray) -> np.ndarray:
+    return _sigmoid(logits(np.stack([logits(z[:, None], p) for z, p in zip(views, platt, strict=True)], 1), top))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
