@@ -2,14 +2,16 @@
 
 1. Blocks: a task splits its texts into pre-tokens and numbers the distinct ones of a block of
    bounded bytes.  The exploded pre-tokens stay columnar: one row per block holds, per document,
-   the word numbers in order of position; one row per hash bucket holds its distinct words.
-2. One shuffle brings each bucket's rows together; each distinct word is encoded once.
-3. Ids go back to their blocks by a second shuffle and are put in order of number.  A word
-   occurs at most once per block, so no word is hot, and a block's rows are bounded by its bytes.
-4. Documents are reassembled by position: ids of word number w at each position.
-Both kinds of rows go through the same two shuffles, so the texts are read and split once.
-Decoding joins ids with the token-byte table (one row per id of the fixed vocabulary, so its size
-is bounded by the vocabulary file) and puts the bytes end to end.
+   the word numbers in order of position; one row per hash bucket holds its distinct words.  The
+   blocks are written to the shared folder, so a lost executor repeats no numbering that another
+   task already relies on, and the documents' rows stay there while the words travel.
+2. The words go to their buckets in one shuffle and are sorted there, so that all occurrences of a
+   word are neighbours: each distinct word is encoded once and its ids are merged to every block
+   that asked.  The sorts spill, so a bucket may hold any number of words.
+3. The ids meet their blocks' documents by block number, the documents' only shuffle, and the
+   documents are reassembled: ids of word number w at each position.
+Decoding joins the ids with the token-byte table (one row per id of the fixed vocabulary, so its
+broadcast is bounded by the vocabulary file) and puts the bytes end to end.
 
 Defined results: null and empty texts have no tokens; repeated rows and ids are encoded as rows
 of their own; an empty table gives none; other columns never enter.
@@ -29,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of
+from .common import cut, small_batches, table, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -113,55 +115,81 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def _seal(*parts) -> bytes:
+def _seal(*parts, squeeze: bool = True) -> bytes:
+    """Parts as bytes.  Bundles of words or ids stay plain: they may be small, and files and shuffles compress them together."""
     raw = pickle.dumps(parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if squeeze else bytes(8) + raw
 
 
 def _unseal(data: bytes) -> tuple:
-    return pickle.loads(pa.decompress(memoryview(data)[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+    size = int.from_bytes(data[:8], "little")
+    return pickle.loads(pa.decompress(memoryview(data)[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else memoryview(data)[8:])
+
+
+_BLOCK = "block long, bucket int, words binary, docs binary"
 
 
 def blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES, buckets: int = 64) -> DataFrame:
-    """Two kinds of rows: (block, bucket, the block's distinct words of that hash bucket), and (block, -1,
-    its documents, their words' numbers by position and each number's bucket).  The commonest word is number 0.
+    """Two kinds of rows: (block, bucket, the block's distinct words of that hash bucket), and (block, -1, its
+    documents, their words' numbers by position and each number's bucket).  The commonest word is number 0.
+    A block is named by its task's partition and its place in there.
     """
     t = text_of(text)
     plain = t.rlike(_STABLE)
     rows = docs.select(F.col(key).alias("doc_id"), F.when(plain, F.regexp_extract_all(t, F.lit(_JAVA), F.lit(0))).alias("words"), F.when(~plain, t).alias("text"), F.octet_length(t).alias("size"))
 
     def run(batches):
-        import secrets
-
         import public_tokenizers
         import regex
+        from pyspark import TaskContext
 
-        from relflow.llm.bpe import _flat, _planes, _seal
+        from relflow.llm.bpe import _block
 
         split = regex.compile(public_tokenizers.PATTERN).findall
+        first = TaskContext.get().partitionId() << 32
+        ids, held, weight, n = [], [], 0, 0
         for batch in batches:
-            for lo, hi in runs_of(batch.column("size").to_numpy(zero_copy_only=False), block_bytes):
+            for lo, hi in runs_of(batch.column("size").to_numpy(zero_copy_only=False), block_bytes >> 2):
                 words, others = batch.column("words").slice(lo, hi - lo), batch.column("text").slice(lo, hi - lo)
-                if others.null_count < len(others):
-                    words = pa.array([w if t is None else split(t) for w, t in zip(words.to_pylist(), others.to_pylist(), strict=True)], pa.list_(pa.string()))
-                coded = words.flatten().dictionary_encode()
-                places = coded.indices.to_numpy(zero_copy_only=False)
-                order = np.argsort(-np.bincount(places, minlength=len(coded.dictionary)), kind="stable")
-                rank = np.empty(len(order), np.int32)
-                rank[order] = np.arange(len(order), dtype=np.int32)
-                block = secrets.randbits(62)
-                sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-                listed = coded.dictionary.take(pa.array(order)).cast(pa.string())
-                home = np.fromiter((zlib.crc32(w.encode()) % buckets for w in listed.to_pylist()), np.int32, len(listed))
-                out = [_seal(batch.column("doc_id").slice(lo, hi - lo), sizes.astype("<i4").tobytes(), _planes(rank[places]), _planes(home))]
-                there, starts = np.unique(np.sort(home), return_index=True)
-                dealt = listed.take(pa.array(np.argsort(home, kind="stable")))
-                bounds = [*starts.tolist(), len(dealt)]
-                for at, end in zip(bounds, bounds[1:], strict=False):
-                    out.append(_seal(*_flat(dealt.slice(at, end - at))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), block)), pa.array(np.concatenate([[-1], there]).astype(np.int32)), pa.array(out, pa.binary())], names=_BLOCK)
-
-    return rows.mapInArrow(run, "block long, bucket int, payload binary")
+                if others.null_count < len(others):  # those the JVM left, put in their places
+                    more = pa.array([split(t) for t in others.drop_null().to_pylist()], words.type)
+                    left = others.is_valid().to_numpy(zero_copy_only=False)
+                    words = pa.concat_arrays([words, more]).take(pa.array(np.where(left, len(words) + np.cumsum(left) - 1, np.arange(len(words)))))
+                ids.append(batch.column("doc_id").slice(lo, hi - lo))
+                held.append(words)
+                weight += int(pc.sum(batch.column("size").slice(lo, hi - lo)).as_py() or 0)
+                if weight >= block_bytes:
+                    yield _block(first + n, pa.concat_arrays(ids), held, buckets)
+                    ids, held, weight, n = [], [], 0, n + 1
+                    pa.default_memory_pool().release_unused()
+        if ids:
+            yield _block(first + n, pa.concat_arrays(ids), held, buckets)
+
+    return rows.mapInArrow(run, _BLOCK)
+
+
+def _block(block: int, ids: pa.Array, held: list[pa.Array], buckets: int) -> pa.RecordBatch:
+    """The rows of one block; ``held`` are the words of its documents in order, which are used up."""
+    sizes = np.concatenate([pc.list_value_length(w).to_numpy(zero_copy_only=False) for w in held]).astype("<i4")
+    coded = pa.chunked_array([w.flatten() for w in held], pa.string()).combine_chunks().dictionary_encode()
+    held.clear()
+    places = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(-np.bincount(places, minlength=len(coded.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    listed = coded.dictionary.take(pa.array(order)).cast(pa.string())
+    del coded
+    home = np.fromiter((zlib.crc32(w.as_py().encode()) % buckets for w in listed), np.int32, len(listed))
+    own = _seal(ids, sizes.tobytes(), _planes(rank[places]), _planes(home))
+    del places, rank
+    there, starts = np.unique(np.sort(home), return_index=True)
+    dealt = listed.take(pa.array(np.argsort(home, kind="stable")))
+    bounds = [*starts.tolist(), len(dealt)]
+    out = [None, *(_seal(*_flat(dealt.slice(at, end - at)), squeeze=False) for at, end in zip(bounds, bounds[1:], strict=False))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(out), block)), pa.array(np.concatenate([[-1], there]).astype(np.int32)), pa.array(out, pa.binary()), pa.array([own, *[None] * (len(out) - 1)], pa.binary())],
+        names=["block", "bucket", "words", "docs"],
+    )
 
 
 def _flat(strings: pa.Array) -> tuple[bytes, bytes]:
@@ -176,9 +204,6 @@ def _strings(sizes: bytes, data: bytes) -> list[str]:
     return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)).to_pylist()
 
 
-_BLOCK = ["block", "bucket", "payload"]
-
-
 def runs_of(sizes: np.ndarray, most: int):
     """Row ranges of about ``most`` bytes."""
     lo, held = 0, 0
@@ -219,45 +244,74 @@ def _arrow(schema: T.StructType):
     return list(to_arrow_schema(schema))
 
 
-def encode_words(rows: DataFrame, path: str) -> DataFrame:
-    """A bucket's rows together: each distinct word is encoded once (again only after 150,000 others) and
-    answers all its blocks.  A word comes at most once per block, so no word is hot; documents pass by.
-    """
-    dealt = rows.repartition(F.when(F.col("bucket") >= 0, F.hash("bucket").cast("long")).otherwise(F.col("block"))).sortWithinPartitions("bucket")
+def encode_words(asked: DataFrame, path: str) -> DataFrame:
+    """block, bucket, ids of its words in order: each distinct word is encoded once for all blocks."""
 
-    def run(batches):
-        from relflow.llm.bpe import Pieces, _planes, _seal, _strings, _unseal
-        from relflow.llm.packing import _Kept
+    def spread(batches):
+        from relflow.llm.bpe import _strings, _unseal
+
+        for batch in batches:
+            for block, bucket, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                listed = _strings(*_unseal(words))
+                for at in range(0, len(listed), 20_000):
+                    part = listed[at : at + 20_000]
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.full(n, bucket, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(part, pa.string())], names=["block", "bucket", "place", "word"])
+
+    def answer(batches):
+        from relflow.llm.bpe import Pieces
 
-        pieces, known = Pieces.of(path), _Kept(150_000)
+        pieces, last, ids = Pieces.of(path), None, b""
         kind = "<u2" if pieces.top < 1 << 16 else "<u4"
         for batch in batches:
             out = []
-            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
-                if bucket < 0:
-                    out.append(payload.as_py())
+            for word in batch.column(3).to_pylist():
+                if word != last:
+                    last, ids = word, np.array(pieces.ids(word.encode()), kind).tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["block", "bucket", "place", "ids"])
+
+    def bundle(batches):
+        from relflow.llm.bpe import Pieces, _planes, _seal
+
+        width = 2 if Pieces.of(path).top < 1 << 16 else 4
+        owner, held = None, []
+
+        def sealed():
+            return pa.RecordBatch.from_arrays([pa.array([owner[0]], pa.int64()), pa.array([owner[1]], pa.int32()), pa.array([_seal(_planes(np.fromiter(map(len, held), np.int64, len(held)) // width), b"".join(held), squeeze=False)], pa.binary())], names=["block", "bucket", "ids"])
+
+        for batch in batches:
+            block, bucket, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
+            starts = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1])) + 1, [len(block)]])
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if lo == hi:
                     continue
-                ids = []
-                for word in _strings(*_unseal(payload.as_py())):
-                    got = known.find(word)
-                    if got is None:
-                        got = np.array(pieces.ids(word.encode()), kind).tobytes()
-                        known.put(word, got)
-                    ids.append(got)
-                width = np.dtype(kind).itemsize
-                out.append(_seal(_planes(np.fromiter(map(len, ids), np.int64, len(ids)) // width), b"".join(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=_BLOCK)
+                now = (int(block[lo]), int(bucket[lo]))
+                if now != owner and held:
+                    yield sealed()
+                    held = []
+                owner = now
+                held += ids[lo:hi]
+        if held:
+            yield sealed()
 
-    return dealt.mapInArrow(run, "block long, bucket int, payload binary")
+    words = asked.repartition("bucket").mapInArrow(spread, "block long, bucket int, place int, word string").sortWithinPartitions("word")
+    told = words.mapInArrow(answer, "block long, bucket int, place int, ids binary").sortWithinPartitions("block", "bucket", "place")
+    return told.mapInArrow(bundle, "block long, bucket int, ids binary")
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, tokens (array<int>): every text's ids."""
     path = path or vocabulary_path()
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
-    buckets = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # any number of buckets is right, as a bucket is sorted rather than held
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with small_batches(docs.sparkSession):
+        written = cut(blocks(docs, key, text, block_bytes, buckets), "blocks")
+    answers = encode_words(written.filter("bucket >= 0").select("block", "bucket", "words"), path)
+    owners = written.filter("bucket < 0").select("block", "bucket", F.col("docs").alias("ids"))
     # a sorted stream per block: its documents, then the ids of its words by bucket
-    stream = encode_words(blocks(docs, key, text, block_bytes, buckets), path).repartition("block").sortWithinPartitions("block", "bucket")
+    stream = owners.unionByName(answers).repartition("block").sortWithinPartitions("block", "bucket")
 
     def run(batches):
         from relflow.llm.bpe import Pieces, _unseal, reassemble
@@ -265,7 +319,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         kind = "<u2" if Pieces.of(path).top < 1 << 16 else "<u4"
         owner, held = None, []
         for batch in batches:
-            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
+            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("ids"), strict=True):
                 if bucket < 0:
                     if owner is not None:
                         yield from reassemble(held, *owner, kind)
@@ -308,25 +362,23 @@ def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame([(i, bytearray(b)) for b, i in ranks.items()], "token int, bytes binary")
 
 
-def decode(encoded: DataFrame, path: str | None = None, digest_only: bool = False) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None, digest_only: bool = False, tokens: DataFrame | None = None) -> DataFrame:
     """The frame with ``decoded`` (binary) or, with ``digest_only``, the SHA-256 of ids and bytes.
 
-    The token-byte table is joined inside the task: a column of bytes indexed by id, sent once per
-    task, bounded by the vocabulary.
+    The token-byte table is broadcast, bounded by the vocabulary, and joined by id a batch of documents
+    at a time, in the order of their ids.
     """
-    path = path or vocabulary_path()
+    pairs = (token_bytes(encoded.sparkSession, path) if tokens is None else tokens).toArrow()
+    by_id = [b""] * (1 + max(pairs["token"].to_pylist(), default=-1))
+    for i, b in zip(pairs["token"].to_pylist(), pairs["bytes"].to_pylist(), strict=True):
+        by_id[i] = b
+    sent = encoded.sparkSession.sparkContext.broadcast(by_id)
     kind = encoded.schema["doc_id"].dataType
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digest_only else [T.StructField("decoded", T.BinaryType())]
     schema = T.StructType([T.StructField("doc_id", kind), *fields])
 
     def run(batches):
-        from relflow.llm.bpe import load_ranks
-
-        ranks = load_ranks(path)
-        by_id = [b""] * (max(ranks.values()) + 1)
-        for b, i in ranks.items():
-            by_id[i] = b
-        column = pa.array(by_id, pa.binary())
+        column = pa.array(sent.value, pa.binary())
         for batch in batches:
             rows = []
             for tokens in batch.column(1):

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import time
 
 import numpy as np
 import pytest
@@ -29,11 +31,15 @@ def test_warc_round_trip_over_any_ranges(spark, tmp_path, size):
             assert r.payload_bytes == len(data) and r.payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
             assert (r.record_type, r.refers_to) == (("response", None) if first[h or ""] == i else ("revisit", first[h or ""]))
             assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == data
+    by_id = {r.record_id: r for r in got}
+    assert len(by_id) == len(rows)  # what a revisit names is the record it repeats
+    for r in got:
+        if r.record_type == "revisit":
+            target = by_id[r.target_id]
+            assert (target.page_id, target.url, target.payload_digest) == (r.refers_to, r.target_uri, r.payload_digest)
 
 
 def test_warc_urls_of_any_length(spark, tmp_path):
-    import random
-
     r = random.Random(0)
     urls = ["data:" + "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(n)) for n in (300, 95_000, 300_000)] + ["u" * 3_000_000]
     manifest = warc.write(warc.with_revisits(spark.createDataFrame([(i, u, "same") for i, u in enumerate(urls)], PAGES)), str(tmp_path))
@@ -44,6 +50,13 @@ def test_warc_urls_of_any_length(spark, tmp_path):
         warc.whole(manifest, got.filter("page_id <> 1"))
 
 
+def test_warc_other_columns_and_small_payloads(spark, tmp_path):
+    rows = [(1, "u", "long enough", "f", 1), (2, "v", "long enough", "f", 2), (3, "u", "ab", "f", 3), (4, None, "ab", "f", 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, __file string, digest long")
+    manifest = warc.write(warc.with_revisits(df, min_revisit=5), str(tmp_path))
+    assert sorted((r.page_id, r.url, r.record_type, r.refers_to) for r in warc.read(manifest).collect()) == [(1, "u", "response", None), (2, "v", "revisit", 1), (3, "u", "response", None), (4, None, "response", None)]
+
+
 def test_warc_ignores_unfinished_and_empty(spark, tmp_path):
     none = spark.createDataFrame([], PAGES)
     assert warc.read(warc.write(warc.with_revisits(none), str(tmp_path))).count() == 0
@@ -53,7 +66,7 @@ def test_warc_ignores_unfinished_and_empty(spark, tmp_path):
 
 
 def test_warc_reader_resumes_behind_damage(tmp_path):
-    good = [warc.record(i, "u", b"p%d" % i * 50, hashlib.sha1(b"p%d" % i * 50).hexdigest(), None) for i in range(4)]
+    good = [warc.record(i, "u", b"p%d" % i * 50, len(b"p%d" % i * 50), hashlib.sha1(b"p%d" % i * 50).hexdigest(), str(i)) for i in range(4)]
     data = good[0] + good[1][:20] + b"\x1f\x8b\x08junk" + good[2] + good[3]
     path = tmp_path / "x.warc.gz"
     path.write_bytes(data)
@@ -113,6 +126,115 @@ def test_html_deep_and_broken_markup():
     assert html_text.main_text("<p>a<b") .startswith("a")
 
 
+@pytest.mark.parametrize("piece", ["<a", "<a ", "<div>x", "<p><b>", "<p don't>First. ", "<p a=\"", "<ul><li>", "</x><div>", "<", "<!--", "<div class=ad>", "<td>x", "<script>", "&amp"])
+def test_html_takes_linear_time(piece):
+    def seconds(n):
+        page = piece * (n // len(piece))
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    assert seconds(400_000) < 5 and seconds(400_000) < 11 * seconds(100_000) + 0.3
+
+
+def test_html_attributes_and_quotes():
+    of = html_text.main_text
+    assert of("<p don't>First para.</p>") == "First para."
+    assert of('<p title="a>b" class=x/>One</p>') == "One"
+    assert of('<p class="x>Lost quote.</p>') == "Lost quote."
+    assert of("<p>a < b <3 c</p>") == "a < b <3 c"
+    assert of("<p>a<!-->b<!-- no -->c<!doctype x>d<?x?>e</>f</p>") == "abcdef"
+    assert of("<div>" * 600 + "deep" + "</div>" * 600 + "<p>after</p>").split("\n\n")[0] == "deep"
+
+
+def _brute_text(tree):
+    """The scorer by its definition: trees of (tag, children), every sum taken over a container's own blocks."""
+    blocks, parents, kids = [], {(): None}, {}
+
+    def walk(node, path, link):
+        kids[path] = []
+        parts = []
+
+        def flush(p=path):
+            text = " ".join("".join(t for t, _ in parts).split())
+            if text:
+                blocks.append((text, p, min(sum(len(t) for t, a in parts if a), len(text))))
+            parts.clear()
+
+        for i, child in enumerate(node[1]):
+            if isinstance(child, str):
+                parts.append((child, link))
+            elif child[0] == "a":
+                parts.append((child[1][0], True))
+            else:
+                flush()
+                parents[(*path, i)] = path
+                kids[path].append((*path, i))
+                walk(child, (*path, i), link)
+        flush()
+        tags[path] = node[0]
+
+    tags = {}
+    walk(("root", [tree]), (), False)
+    points = dict.fromkeys(tags, 0.0)
+    for text, p, _ in blocks:
+        holder = parents[p] if tags[p] not in ("div", "section", "root") else p
+        points[holder] += html_text.points_of(text)
+        if parents[holder] is not None:
+            points[parents[holder]] += html_text.points_of(text) / 2
+    of = lambda p: [n for n, b in enumerate(blocks) if b[1][: len(p)] == p]
+    share = lambda p: sum(blocks[n][2] for n in of(p)) / max(1, sum(len(blocks[n][0]) for n in of(p)))
+    held = [p for p in tags if of(p)]
+    if not held:
+        return ""
+    score = {p: points[p] * (1 - share(p)) for p in held}
+    best = max(held, key=lambda p: (score[p], -len(of(p)), [-x for x in p]))
+    top = max(score.values())
+    keep, at = set(of(best)), best
+    while parents[at] is not None:
+        for other in kids[parents[at]]:
+            if other != at and other in score and (score[other] >= max(10, 0.2 * top) or share(other) < 0.25):
+                keep.update(of(other))
+        at = parents[at]
+        keep.update(n for n, b in enumerate(blocks) if b[1] == at and b[2] == 0)
+    return "\n\n".join(blocks[n][0] for n in sorted(keep))
+
+
+def test_html_scores_as_by_definition():
+    r = random.Random(3)
+    words = ["some", "words,", "more", "text.", "and,", "so", "on"]
+
+    def text():
+        return " ".join(r.choice(words) for _ in range(r.randrange(1, 40)))
+
+    def tree(depth):
+        out = []
+        for _ in range(r.randrange(1, 5)):
+            pick = r.random()
+            if depth and pick < 0.5:
+                out.append((r.choice(["div", "section"]), tree(depth - 1)))
+            elif pick < 0.85:
+                out.append(("p", [text(), ("a", [text()])] if r.random() < 0.3 else [("a", [text()])] if r.random() < 0.4 else [text()]))
+            else:
+                out.append(text())
+        return out
+
+    page = lambda x: x if isinstance(x, str) else f"<{x[0]}>" + "".join(map(page, x[1])) + f"</{x[0]}>"
+    ties = 0
+    for _ in range(300):
+        t = ("div", tree(3))
+        ties += html_text.main_text(page(t)) != _brute_text(t)
+    assert ties == 0
+
+
+def test_html_empty_table_repeated_rows_and_other_columns(spark):
+    df = spark.createDataFrame([(1, "<p>a</p>", "old", 7, "k"), (1, "<p>a</p>", "old", 7, "k"), (None, None, "x", None, None)], "page_id long, html string, text string, n_chars long, `__page` string")
+    got = html_text.extract(df)
+    assert got.columns == ["page_id", "__page", "text", "n_chars"]
+    assert sorted(map(tuple, got.collect()), key=repr) == [(1, "k", "a", 1), (1, "k", "a", 1), (None, None, "", 0)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_chat_template_reverses():
     for t in ["a\\n<|x|>\\\\|", "<|im_end|>\n<|im_start|>assistant\nx", "\\", "<\\|", "", "<<||>\\n|n", "\n\n"]:
         one, lo, hi = chat.render(t, t)
@@ -131,6 +253,16 @@ def test_chat_prefixes(spark):
     assert back[1].turns_sha256 == hashlib.sha256(b"user\nq\nassistant\na1\nuser\n\nassistant\na2\nuser\nend\n").hexdigest()
     assert back[1].loss_sha256 == hashlib.sha256(b"a1a2").hexdigest() and back[2].loss_chars == 0 and back[None].n_turns == 2
     assert chat.read_back(chat.expand(df.limit(0))).count() == 0
+    stored = chat.read_back(chat.expand(df).orderBy("text"), ordered=False)
+    assert {r.conv_id: r for r in stored.collect()} == back
+
+
+def test_chat_ties_repeats_long_texts_and_other_columns(spark):
+    rows = [(1, 0, "user", "b", 1), (1, 0, "user", "a", 2), (1, 0, "user", "a", 2), (1, 1, "assistant", "<|" * 50_000 + "\\", 3), (2, None, "assistant", "x", 4), (2, 5, "assistant", None, 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, example long")
+    back = {r.conv_id: r for r in chat.read_back(chat.expand(df)).collect()}
+    assert back[1].turns_sha256 == hashlib.sha256(("user\na\nuser\na\nuser\nb\nassistant\n" + "<|" * 50_000 + "\\\n").encode()).hexdigest()
+    assert (back[1].loss_chars, back[2].n_turns, back[2].loss_chars) == (100_001, 2, 1)
 
 
 def test_classifier_on_held_out_labels(spark, sf_dir):
@@ -144,6 +276,28 @@ def test_classifier_on_held_out_labels(spark, sf_dir):
     assert out.join(labels.filter("quality = 1"), "doc_id").filter("not kept").count() <= 0.03 * labels.filter("quality = 1").count()
 
 
+def test_calibration_gives_the_shares_it_says():
+    r = np.random.default_rng(0)
+    y = (r.random(20_000) < 0.3).astype(int)
+    views = [2 * (2 * y - 1 + r.normal(0, 1.5, y.size)) + 1, 9 * (2 * y - 1 + r.normal(0, 3, y.size))]
+    platt, top = quality_model.calibrate([z[:10_000] for z in views], y[:10_000])
+    score = quality_model.combine([z[10_000:] for z in views], platt, top)
+    for lo in np.arange(0, 1, 0.2):
+        at = (score >= lo) & (score < lo + 0.2)
+        assert at.sum() < 200 or abs(y[10_000:][at].mean() - score[at].mean()) < 0.05
+
+
+def test_classifier_odd_tables(spark):
+    kinds = "doc_id long, text string, source string, lang string, n_chars long, score double, t string"
+    docs = spark.createDataFrame([(i // 2, None if i % 7 == 0 else "good words, in lines.\n" * (i % 5) if i % 3 else "x $$ " * (i % 9), None, "en", None, 1.0, "t") for i in range(120)] + [(None, "a", "s", None, 3, None, None)], kinds)
+    labels = spark.createDataFrame([(i // 2, int(i // 2 % 3 > 0), i) for i in range(100)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    for model in (quality_model.train(docs, labels), quality_model.train(docs.limit(0), labels)):
+        out = quality_model.score(docs, model)
+        assert out.count() == 121 and out.filter("score is null or kept is null").count() == 0
+        assert out.select("doc_id", "score").distinct().groupBy("doc_id").count().count() == 61
+        assert quality_model.score(docs.limit(0), model).count() == 0
+
+
 def test_classifier_without_labels(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (2, "x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from relflow.llm import bpe, exact_dedup, packing, pii, quality_rules, simhash
+from relflow.llm import bpe, common, exact_dedup, packing, pii, quality_rules, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WS = "[\x20\x09-\x0d]"
@@ -61,10 +61,18 @@ def test_quality_cascade_and_clashing_columns(spark):
     assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [0]
     assert {r.doc_id: r.rejected_by for r in quality_rules.annotate(df).collect()}[0] is None
     order = quality_rules.plan_cascade(df)
-    assert {r.name for r, _, _ in order} == {r.name for r in quality_rules.default_rules()}
+    assert {p.rule.name for p in order} == {r.name for r in quality_rules.default_rules()}
     assert quality_rules.annotate(df.limit(0)).count() == 0
 
 
+def test_quality_order_is_by_rejections_per_cost_of_what_is_left():
+    rules = [quality_rules.Rule(n, None) for n in "abc"]
+    hits = [[True, True, False]] * 6 + [[False, True, False]] + [[False, False, True]] * 2 + [[False] * 3]
+    got = quality_rules.order_rules(rules, [1.0, 2.0, 1.0], hits)
+    # b alone rejects most, but of what a leaves only one, c two
+    assert [(p.rule.name, p.rejects) for p in got] == [("a", 0.6), ("c", 0.2), ("b", 0.1)]
+
+
 # -- exact dedup -------------------------------------------------------------------------------
 def brute_dedup(rows):
     groups = {}
@@ -83,7 +91,7 @@ def test_exact_dedup(spark, weak):
 
 
 def test_exact_dedup_hot_group_repeats_and_nulls(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 10**9)
+    monkeypatch.setattr(common, "HOT_SHARE", 10**9)
     texts = ["copy"] * 1500 + noise(30)
     df = frame(spark, texts)
     assert exact_dedup.decisions(df).filter(exact_dedup.stays()).count() == len({re.sub(WS, "", t) for t in texts})
@@ -102,6 +110,58 @@ def test_exact_dedup_state_goes_on(spark, tmp_path):
     assert {r.doc_id: (r.best.doc_id, r.n, r.kept) for r in later.collect()} == {7: (7, 2, True), 8: (8, 1, True), 1: (1, 2, False)}
 
 
+@pytest.mark.parametrize("files", [False, True])
+def test_exact_dedup_compares_texts_of_earlier_runs(spark, tmp_path, files):
+    weak = lambda c: F.substring(F.sha2(c, 256), 1, 1)
+    runs, seen, state = [noise(12, 1) + ["x y"], noise(12, 2) + ["xy", None], noise(12, 1) + ["x  y"]], [], str(tmp_path / "state")
+    for n, texts in enumerate(runs):
+        ids = [100 * n + i for i in range(len(texts))]
+        df = frame(spark, texts, ids)
+        if files:
+            df.write.parquet(str(tmp_path / f"in {n}"))
+            df = spark.read.parquet(str(tmp_path / f"in {n}"))
+        got = exact_dedup.decisions(df, digest=weak, checkpoint=state)
+        seen += zip(ids, texts, strict=True)
+        want = brute_dedup(seen)
+        assert {r.doc_id: (r.best.doc_id, r.n) for r in got.collect()} == {i: want[i] for i in ids}
+
+
+# -- locators and skew -------------------------------------------------------------------------
+@pytest.mark.parametrize("most", [4096, 1 << 26])
+def test_rows_are_flagged_by_locator(spark, tmp_path, most):
+    spark.range(100_000).repartition(3).write.parquet(str(tmp_path / "rows"))
+    rows = common.anchored(spark.read.parquet(str(tmp_path / "rows")).filter("id % 2 = 0"))
+    got = common.flagged(rows, rows.filter("id % 7 = 0"), most=most)
+    assert got.count() == 50_000 and got.filter("__hit <> (id % 7 = 0)").count() == 0
+    assert common.flagged(rows, rows.limit(0)).filter("__hit").count() == 0
+    joined = rows.join(rows.select(F.col("id").alias("i2")), F.col("id") == F.col("i2") - 2).select("id")
+    assert common.anchored(joined).select("__file", "__row").distinct().count() == joined.count()
+
+
+@pytest.mark.parametrize("share", [1, 10**9])
+def test_hot_keys_join_alike(spark, monkeypatch, share):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    rows = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(100)], "k long, v long")
+    values = rows.groupBy("k").agg(F.max("v").alias("m"), F.count(F.lit(1)).alias("w"))
+    got = common.join_skewed(rows, values, ["k"], "w", 100)
+    assert got.columns == ["k", "v", "m"]
+    assert sorted(map(tuple, got.collect())) == sorted((k, v, max(x for x in range(100) if (x % 3 if x < 90 else x) == k)) for k, v in ((i % 3 if i < 90 else i, i) for i in range(100)))
+
+
+def test_no_shared_folder_is_an_error(spark):
+    before = spark.conf.get("spark.checkpoint.dir")
+    try:
+        spark.conf.set("spark.checkpoint.dir", "")
+        with pytest.raises(RuntimeError):
+            common.shared_dir(spark)
+    except Exception as e:  # a static setting in some versions
+        assert "CANNOT_MODIFY" in str(e)
+    finally:
+        if spark.conf.get("spark.checkpoint.dir", None) != before:
+            spark.conf.set("spark.checkpoint.dir", before)
+
+
 # -- near dedup --------------------------------------------------------------------------------
 def brute_fingerprint(text):
     import xxhash
@@ -177,6 +237,15 @@ def test_near_dedup_keeps_one_row_whatever_the_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == brute_near(rows)
 
 
+@pytest.mark.parametrize("keep", [exact_dedup.keep, simhash.keep])
+def test_columns_of_any_name_pass_through_dedup(spark, keep):
+    names = ["__file", "__row", "__hit", "_metadata", "b_map", "least", "best", "digest", "c0", "doc_id", "text"]
+    df = spark.createDataFrame([(*"abcdefghi", 1, "one two"), (*"abcdefghi", 2, "one two"), (*"jklmnopqr", None, None)], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = keep(df)
+    assert out.columns == names
+    assert sorted(map(tuple, out.collect())) == [(*"abcdefghi", 1, "one two"), (*"jklmnopqr", None, None)]
+
+
 def test_components_settle_or_fail(spark):
     from relflow.llm.components import components
 
@@ -187,8 +256,8 @@ def test_components_settle_or_fail(spark):
     assert components(edges.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_links_of_dense_fingerprints(spark, hot):
+@pytest.mark.parametrize("fine", [512, 3])
+def test_links_of_dense_fingerprints(spark, fine):
     r = random.Random(1)
     fps = set()
     for _ in range(12):
@@ -199,7 +268,7 @@ def test_links_of_dense_fingerprints(spark, hot):
             fps.add(x)
     fps = list(fps)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    got = simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), hot=hot).collect()
+    got = simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), fine=fine).collect()
     assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in got)
     parent = {signed(x): signed(x) for x in fps}
 
@@ -244,15 +313,151 @@ def test_base_spans(spark):
         assert got[i] == brute_pii(t), t[:80]
 
 
-def test_bootstrap_finds_unseen_identifiers(spark):
-    texts = [f"please reach me at user{i}@site{i}.org today" for i in range(6)] + ["please reach me at bob@localhost now", "meet me at 10@30 or so"]
-    texts += [f"my mobile no: +1 (212) 555-000{i} x" for i in range(6)] + ["my mobile no: 212 555 0199 x", "it was 212 555 0199 of"]
+def _fit_kinds(v):
+    n, letters = len(re.sub("[^0-9]", "", v)), bool(re.search("[A-Za-z]", v))
+    tests = [
+        re.fullmatch(r"[^@\s]*[A-Za-z][^@\s]*@[^@\s]*[A-Za-z][^@\s]*", v),
+        not letters and re.fullmatch(r"[0-9]+[.:][0-9]+[.:][0-9]+[.:][0-9]+", v),
+        not letters and 12 <= n <= 19 and re.fullmatch(r"[0-9][0-9 .-]+", v),
+        not letters and 7 <= n <= 15 and re.fullmatch(r"[0-9(+][0-9 ().-]+", v),
+        letters and n and re.fullmatch(r"[A-Za-z0-9_+/=.-]{16,}", v),
+    ]
+    return {k for k, t in enumerate(tests) if t}
+
+
+def _plain_words(text):
+    return re.findall(f"[^{WS[1:-1]}]+", text)
+
+
+def brute_candidates(text):
+    import regex
+
+    base, out, last = brute_pii(text), [], 0
+    tokens = list(regex.finditer(r"[0-9@][^\s]*(?:\x20[(+]?[0-9][0-9().-]*)*", text, flags=regex.ASCII))
+    for n, m in enumerate(tokens):
+        gap, after = text[last : m.start()], text[m.end() : tokens[n + 1].start() if n + 1 < len(tokens) else len(text)]
+        last = m.end()
+        head = re.search(r"[^ \t\n\x0b\x0c\r]*$", gap)[0]
+        whole = head + m[0]
+        opened = regex.match(r"[^\p{L}\p{N}+(@]*", whole)[0]
+        v = regex.sub(r"[^\p{L}\p{N}]+$", "", whole[len(opened) :])
+        if not v:
+            continue
+        s = m.start() - len(head) + len(opened)
+        left, right = _plain_words(gap[: len(gap) - len(head)].lower()), _plain_words(after.lower())
+        patterns = ["<" + " ".join(left[-k:]) for k in (1, 2) if len(left) >= k] + [">" + w for w in right[:1]]
+        kinds = [k for k, a, b in base if a < s + len(v) and b > s]
+        named = re.search(r"(?:^|[^a-z])(?:[a-z]+[_-])?(?:key|token|secret|password|passwd|pwd)[\"']?\s?[:=]{1,2}>?\s?[\"'(]*$", " ".join(left) + " " + re.match(r"[\"'(]*", whole)[0])
+        out.append((s, s + len(v), v, patterns, kinds[0] if kinds else 4 if named and 4 in _fit_kinds(v) else None))
+    return out
+
+
+def brute_added(texts):
+    """The bootstrap by its definition over plain dictionaries: document -> added spans."""
+    texts = [t or "" for t in texts]
+    found = [brute_candidates(t) for t in texts]
+    said = Counter(w for t in texts for w in _plain_words(t.lower()))
+    n, seed = Counter(), {}
+    for _, _, v, patterns, k in (c for cs in found for c in cs):
+        for p in patterns:
+            n[p, v] += 1
+            seed[p, v] = max(seed.get((p, v), -1), -1 if k is None else k)
+    edges = [(k, p, v) for p, v in n for k in range(5) if seed[p, v] == k or seed[p, v] < 0 and k in _fit_kinds(v)]
+    score = {(k, p, v): float(seed[p, v] == k) for k, p, v in edges}
+    strong = {}
+    for step in range(pii.ROUNDS):
+        by = {}
+        for k, p, v in edges:
+            by.setdefault((k, p), []).append(v)
+        now = {}
+        for (k, p), vs in by.items():
+            good, unknown = sum(n[p, v] * score[k, p, v] for v in vs), sum(n[p, v] * (1 - score[k, p, v]) for v in vs)
+            conf = good / (max(min(said[w] for w in p[1:].split(" ")), sum(n[p, v] for v in vs)) - 0.5 * unknown + 0.5)
+            if len(vs) >= pii.SUPPORT and conf >= pii.CONFIDENCE and sum(score[k, p, v] >= 0.5 for v in vs) >= pii.SUPPORT:
+                now[k, p] = conf
+        if len(now) == len(strong) or step == pii.ROUNDS - 1:
+            strong = now
+            break
+        strong, odds = now, {}
+        for k, p, v in edges:
+            if (k, p) in strong:
+                odds[k, v] = odds.get((k, v), 1) * (1 - min(strong[k, p], 0.999))
+        score = {(k, p, v): 1.0 if seed[p, v] == k else 1 - odds.get((k, v), 1) for k, p, v in edges}
+    out = {}
+    for i, cs in enumerate(found):
+        spans = [(4, s, e) for s, e, _, _, k in cs if k == 4]
+        for s, e, v, patterns, k in cs:
+            hits = [(strong[j, p], -j) for p in patterns for j in _fit_kinds(v) if k is None and (j, p) in strong]
+            if hits:
+                spans.append((-max(hits)[1], s, e))
+        if spans:
+            out[i] = sorted(spans)
+    return out
+
+
+def planted(seed):
+    """(texts, unseen identifiers by document): contexts with seen and unseen values, some met only through others."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 8)))
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    seen = {"email": lambda: f"{word()}.{word()}@{word()}.org", "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}", "ip": lambda: ".".join(str(r.randrange(256)) for _ in range(4)), "secret": lambda: f'"{word()}{digits(3)}{word()}{digits(9)}{word()}"'}
+    unseen = {"email": lambda: f"{word()}{digits(2)}@{word()}", "phone": lambda: f"{digits(3)}-555-{digits(4)}", "ip": lambda: f"{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(300, 999)}", "secret": lambda: f"{word()}{digits(4)}{word()}{digits(8)}Z{word()}"}
+    contexts = {"email": ["write to {}", "contact: {}", "{} (mailbox)"], "phone": ["mobile no: {}", "call me at {}", "{} (voice)"], "ip": ["connected from {}", "host addr {}", "{} port"], "secret": ["api_key = {}", "auth token: {}", "bearer key => {}"]}
+    texts, want = [], {}
+
+    def add(kind, context, value, hidden):
+        lead = " ".join(word() for _ in range(r.randrange(4, 9))) + " "
+        text = lead + context.format(value) + " " + " ".join(word() for _ in range(4))
+        if hidden:
+            at = text.index(value)
+            want[len(texts)] = (pii.ALL_KINDS.index(kind), at, at + len(value))
+        texts.append(text)
+
+    for kind, forms in contexts.items():
+        for form in forms:
+            for _ in range(12):
+                add(kind, form, seen[kind](), False)
+            for _ in range(5):
+                add(kind, form, unseen[kind](), True)
+        chain = [unseen[kind]() for _ in range(6)]  # found by a known context, and so the seeds of a new one
+        for value in chain:
+            add(kind, forms[0], value, True)
+            add(kind, "via " + kind + "line {}", value, True)
+        add(kind, "via " + kind + "line {}", unseen[kind](), True)
+    for _ in range(300):  # clean documents with numbers of the same shapes
+        numbers = [digits(4), f"{digits(3)}-{digits(4)}", f"{digits(1)}.{digits(1)}.{digits(1)}.{digits(3)}", digits(10), f"at {digits(3)}-555-{digits(4)}", "me at home", f"no: {digits(2)}"]
+        texts.append(" ".join(r.choice([word(), word(), word(), r.choice(numbers)]) for _ in range(30)))
+    return texts, want
+
+
+def test_bootstrap_is_the_graph_by_definition_and_finds_unseen_identifiers(spark):
+    texts, want = planted(5)
+    texts += EDGE + ["token = \"0a1b2c3d4e5f6a7b8c9d\"", "my SECRET: 'Abcdefgh12345678'", "the token was 0a1b2c3d4e5f6a7b8c9d", "\"", "@", "+ 1", "(12)", "token = ab12"]
     df = frame(spark, texts)
-    added = {r.doc_id: [(pii.KINDS[s.k], s.s, s.e) for s in r.added] for r in pii.find(df).collect() if r.added}
-    assert added == {6: [("email", 19, 32)], 14: [("phone", 14, 26)]}
+    got = {r.doc_id: [(x.k, x.s, x.e) for x in r.added] for r in pii.find(df).collect() if r.added}
+    assert got == brute_added(texts)
+    found = {(i, *x) for i, xs in got.items() for x in xs}
+    hidden = {(i, *x) for i, x in want.items()}
+    assert len(found & hidden) >= 0.9 * len(hidden)
+    # seeds of kind secret are spans of the method too; all else beyond the planted is wrong
+    wrong = [x for x in found - hidden if x[1] != pii.SECRET]
+    assert len(wrong) <= 0.02 * len(found)
+
+
+def test_patterns_are_counted_wherever_their_words_stand(spark):
+    texts = [None, "", "Call me at home", "call  me\nAT 3 call me"]
+    patterns = spark.createDataFrame([("<me at",), ("<me",), (">me",), ("<call",), ("<nowhere",), ("<home call",)], "pattern string")
+    got = pii._places(frame(spark, texts).select(F.col("text").alias("t")), patterns)
+    assert {r.pattern: r.places for r in got.collect()} == {"<me at": 2, "<me": 3, ">me": 3, "<call": 3, "<home call": 1}
+
+
+def test_redact_leaves_columns_repeats_and_nulls(spark):
+    rows = [(1, "write to a.b@c.org or token = 'abcd1234efgh5678'", "x", "y", "z"), (1, "write to a.b@c.org or token = 'abcd1234efgh5678'", "x", "y", "z"), (None, None, None, None, None), (None, "key: 0a1b2c3d4e5f6a7b", "x", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, added string, __hit string, __file string")
     out = pii.redact(df)
-    clean = {r.doc_id: r.text for r in out.collect()}
-    assert out.columns == df.columns and clean[6] == "please reach me at <EMAIL> now" and clean[14] == "my mobile no: <PHONE> x" and clean[15] == texts[15] and clean[0] == "please reach me at <EMAIL> today"
+    assert out.columns == df.columns
+    one = (1, "write to <EMAIL> or token = '<SECRET>'", "x", "y", "z")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([one, one, rows[2], (None, "key: <SECRET>", "x", None, None)], key=repr)
     assert pii.redact(df.limit(0)).count() == 0
 
 
@@ -276,6 +481,36 @@ def test_byte_bpe_is_tiktoken(spark):
     assert bpe.token_bytes(spark).count() == len(ranks)
 
 
+def test_byte_bpe_splits_every_stable_character_as_the_pattern(spark):
+    import public_tokenizers
+    import regex
+
+    r, chars = random.Random(5), [chr(c) for c in range(0x250)]
+    texts = [a + c + b for c in chars for a, b in (("x", "1"), (" ", "  y"), ("'", "s \n"))]
+    texts += ["".join(r.choice([*chars, " ", "'s", "'LL", "  "]) for _ in range(40)) for _ in range(400)]
+    df = frame(spark, texts).withColumn("w", F.regexp_extract_all("text", F.lit(bpe._JAVA), F.lit(0)))
+    assert df.filter(~F.col("text").rlike(bpe._STABLE)).count() == 0
+    assert {row.doc_id: row.w for row in df.collect()} == {i: regex.findall(public_tokenizers.PATTERN, t) for i, t in enumerate(texts)}
+
+
+def test_byte_bpe_blocks_are_the_same_again_and_words_are_encoded_once(spark, tmp_path):
+    frame(spark, noise(60, 4) + EDGE).repartition(5).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    one, two = (sorted((r.block, r.bucket, bytes(r.words or b""), bytes(r.docs or b"")) for r in bpe.blocks(df, "doc_id", "text", 3000, 8).collect()) for _ in range(2))
+    assert one == two and len({b for b, *_ in one}) > 5
+    asked = bpe.blocks(df, "doc_id", "text", 3000, 8).filter("bucket >= 0").select("block", "bucket", "words")
+    words = sum(len(bpe._strings(*bpe._unseal(r.words))) for r in asked.collect())
+    told = bpe.encode_words(asked, bpe.vocabulary_path()).collect()
+    assert sum(len(bpe._unplanes(bpe._unseal(r.ids)[0])) for r in told) == words
+    assert sorted((r.block, r.bucket) for r in told) == sorted((r.block, r.bucket) for r in asked.collect())
+
+
+def test_byte_bpe_decodes_by_a_given_table(spark):
+    table = spark.createDataFrame([(0, bytearray(b"a")), (3, bytearray("é".encode()))], "token int, bytes binary")
+    coded = spark.createDataFrame([(1, [0, 3, 0]), (2, [])], "doc_id long, tokens array<int>")
+    assert {r.doc_id: bytes(r.decoded) for r in bpe.decode(coded, tokens=table).collect()} == {1: "aéa".encode(), 2: b""}
+
+
 def test_word_encoder_is_the_tokenizer():
     import pyarrow as pa
     from tokenizers import Tokenizer
@@ -321,6 +556,24 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(df.limit(0))).count() == 0
 
 
+def test_packing_of_repeated_rows_and_its_certificate(spark):
+    import numpy as np
+
+    df = frame(spark, ["one two three four five"] * 120 + [None] * 10, [7] * 130).withColumn("uid", F.lit("x")).withColumn("part", F.lit(1))
+    packed = packing.pack(packing.pieces(df, capacity=50), capacity=50, part_tokens=200)
+    rows = packed.collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(rows) == 130
+    for b in bins.values():
+        ends = np.cumsum([n for _, n in sorted(b)])
+        assert [at for at, _ in sorted(b)] == [0, *ends[:-1]] and ends[-1] <= 50
+    bound = packing.lower_bound(np.array([r.length for r in rows]), 50)
+    assert packing.certificate(packed, 50) == {"bins": len(bins), "bound": bound, "gap": len(bins) - bound}
+    assert len(bins) - bound <= 1
+
+
 def test_lower_bound_is_one():
     import numpy as np
 
