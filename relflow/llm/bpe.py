@@ -8,8 +8,8 @@
 2. The words go to their buckets in one shuffle and are sorted there, so that all occurrences of a
    word are neighbours: each distinct word is encoded once and its ids are merged to every block
    that asked.  The sorts spill, so a bucket may hold any number of words.
-3. The ids meet their blocks' documents by block number, the documents' only shuffle, and the
-   documents are reassembled: ids of word number w at each position.
+3. The ids join their blocks' documents by block number.  The table is bucketed by it, so only the ids
+   are shuffled; the documents are reassembled: ids of word number w at each position.
 Decoding joins the ids with the token-byte table (one row per id of the fixed vocabulary, so its
 broadcast is bounded by the vocabulary file) and puts the bytes end to end.
 
@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, table, text_of
+from .common import bucketed, small_batches, table, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES = 8 << 20
+MOST_BUCKETS = 4_096
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -115,15 +116,13 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def _seal(*parts, squeeze: bool = True) -> bytes:
-    """Parts as bytes.  Bundles of words or ids stay plain: they may be small, and files and shuffles compress them together."""
+def _seal(*parts) -> bytes:
     raw = pickle.dumps(parts)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if squeeze else bytes(8) + raw
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unseal(data: bytes) -> tuple:
-    size = int.from_bytes(data[:8], "little")
-    return pickle.loads(pa.decompress(memoryview(data)[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else memoryview(data)[8:])
+    return pickle.loads(pa.decompress(memoryview(data)[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
 
 
 _BLOCK = "block long, bucket int, words binary, docs binary"
@@ -185,7 +184,7 @@ def _block(block: int, ids: pa.Array, held: list[pa.Array], buckets: int) -> pa.
     there, starts = np.unique(np.sort(home), return_index=True)
     dealt = listed.take(pa.array(np.argsort(home, kind="stable")))
     bounds = [*starts.tolist(), len(dealt)]
-    out = [None, *(_seal(*_flat(dealt.slice(at, end - at)), squeeze=False) for at, end in zip(bounds, bounds[1:], strict=False))]
+    out = [None, *(_seal(*_flat(dealt.slice(at, end - at))) for at, end in zip(bounds, bounds[1:], strict=False))]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(out), block)), pa.array(np.concatenate([[-1], there]).astype(np.int32)), pa.array(out, pa.binary()), pa.array([own, *[None] * (len(out) - 1)], pa.binary())],
         names=["block", "bucket", "words", "docs"],
@@ -278,7 +277,7 @@ def encode_words(asked: DataFrame, path: str) -> DataFrame:
         owner, held = None, []
 
         def sealed():
-            return pa.RecordBatch.from_arrays([pa.array([owner[0]], pa.int64()), pa.array([owner[1]], pa.int32()), pa.array([_seal(_planes(np.fromiter(map(len, held), np.int64, len(held)) // width), b"".join(held), squeeze=False)], pa.binary())], names=["block", "bucket", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([owner[0]], pa.int64()), pa.array([owner[1]], pa.int32()), pa.array([_seal(_planes(np.fromiter(map(len, held), np.int64, len(held)) // width), b"".join(held))], pa.binary())], names=["block", "bucket", "ids"])
 
         for batch in batches:
             block, bucket, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
@@ -304,30 +303,22 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     """doc_id, tokens (array<int>): every text's ids."""
     path = path or vocabulary_path()
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
-    # any number of buckets is right, as a bucket is sorted rather than held
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(parts, MOST_BUCKETS)  # any number is right, as a bucket is sorted rather than held
     with small_batches(docs.sparkSession):
-        written = cut(blocks(docs, key, text, block_bytes, buckets), "blocks")
+        written = bucketed(blocks(docs, key, text, block_bytes, buckets), "blocks", "block", parts)
     answers = encode_words(written.filter("bucket >= 0").select("block", "bucket", "words"), path)
-    owners = written.filter("bucket < 0").select("block", "bucket", F.col("docs").alias("ids"))
-    # a sorted stream per block: its documents, then the ids of its words by bucket
-    stream = owners.unionByName(answers).repartition("block").sortWithinPartitions("block", "bucket")
+    # one row per block, whose size bounds it; the table is laid out by block, so the documents stay where they are
+    answers = answers.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "ids"))), lambda x: x["ids"]).alias("ids"))
+    stream = written.filter("bucket < 0").select("block", "docs").join(answers.hint("shuffle_merge"), "block", "left").select("docs", "ids")
 
     def run(batches):
         from relflow.llm.bpe import Pieces, _unseal, reassemble
 
         kind = "<u2" if Pieces.of(path).top < 1 << 16 else "<u4"
-        owner, held = None, []
         for batch in batches:
-            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("ids"), strict=True):
-                if bucket < 0:
-                    if owner is not None:
-                        yield from reassemble(held, *owner, kind)
-                    owner, held = _unseal(payload.as_py()), []
-                else:
-                    held.append(_unseal(payload.as_py()))
-        if owner is not None:
-            yield from reassemble(held, *owner, kind)
+            for docs, ids in zip(*batch.columns, strict=True):
+                yield from reassemble([_unseal(x) for x in ids.as_py() or ()], *_unseal(docs.as_py()), kind)
 
     return stream.mapInArrow(run, schema)
 

@@ -58,6 +58,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``cut`` with a layout: rows lie by hash of ``key``, so joins and groups on it need no shuffle of this side."""
+    spark, path, table = df.sparkSession, scratch(df.sparkSession, name), f"relflow_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by ``cut`` that nothing reads any more."""
     if path := getattr(df, "_relflow_path", None):
