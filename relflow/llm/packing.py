@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table, text_of
+from .common import cut, small_batches, table, text_of
 
 CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 PART_TOKENS = 4_096 * 4_096
-_CACHE_ENTRIES = 300_000
+_CACHE_ENTRIES = 200_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -268,7 +268,8 @@ def _pack(rows: DataFrame, parts: int, key_type: str, capacity: int, salt: int)
 def pack(found: DataFrame, capacity: int = CAPACITY, part_tokens: int = PART_TOKENS) -> DataFrame:
     """pieces -> pieces with sequence_id and offset."""
     # the number tells repeated rows apart, so that they are dealt over all parts
-    found = cut(found.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    with small_batches(found.sparkSession):
+        found = cut(found.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     key_type = found.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     tokens = found.filter(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
