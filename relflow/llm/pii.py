@@ -181,7 +181,8 @@ def learn(cands: DataFrame, texts: DataFrame, rounds: int = ROUNDS, confidence:
     # a pattern of fewer values can never be strong
     wide = cut(edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("w")).filter(F.col("w") >= support), "wide")
     places = _places(texts, wide.select("pattern").distinct())
-    known = wide.join(places, "pattern").select("kind", "pattern", "places", "w")
+    # read twice by the join: the corpus's words are to be counted once
+    known = cut(wide.join(places, "pattern").select("kind", "pattern", "places", "w"), "places")
     edges = cut(join_skewed(edges, known, ["kind", "pattern"], "w", total).withColumn("score", F.col("seed").cast("double")), "edges")
     before = 0
     strong = _confidence(edges).filter((F.col("conf") >= confidence) & (F.col("support") >= support))
