@@ -2,8 +2,9 @@
 
 1. Tokenise: each text becomes the word tokenizer's ids and id 1; documents over the length of
    a sequence are cut into full pieces and a rest.  White space separates tokens of this
-   vocabulary and is dropped, so a text's ids are its white-space runs' ids end to end; each
-   distinct run is encoded once per batch and kept in a bounded per-worker cache.
+   vocabulary and is dropped, so a text's ids are those of its pieces (letters, single digits,
+   other signs) end to end.  A batch is lower-cased and cut by vector operations over its bytes;
+   each distinct piece is encoded once per batch and kept in a bounded per-worker cache.
 2. Pack: pieces are dealt by hash over packing parts of about ``PART_TOKENS`` tokens (so a part
    fits one task at any corpus size) and each part runs best-fit decreasing.
 3. Certify: dual feasible functions bound each part's bin count from below.  A part whose count
@@ -23,8 +24,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from array import array
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pandas as pd
@@ -49,26 +49,6 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class _Kept(dict):
-    """A bounded cache of two generations: what the older one still serves moves to the younger."""
-
-    def __init__(self, entries: int):
-        super().__init__()
-        self.entries, self.older = entries, {}
-
-    def find(self, key: str):
-        got = self.get(key)
-        if got is None and (got := self.older.get(key)) is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self) >= self.entries:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-
-
 #: Runs of these characters (ASCII, Latin-1 letters) lower-case one to one, have no other normal
 #: form, and fall into pieces by the vocabulary's own rule, which is fixed.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -80,12 +60,16 @@ class Encoder:
 
     _kept: dict = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = _CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.runs, self.pieces = _Kept(_CACHE_ENTRIES), _Kept(_CACHE_ENTRIES)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids that end a piece
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.entries = entries
+        self._keep([], np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -93,54 +77,151 @@ class Encoder:
             cls._kept = {path: cls(path)}
         return cls._kept[path]
 
+    def _keep(self, names: list[str], sizes: np.ndarray, pool: np.ndarray) -> None:
+        """These are the known pieces: their numbers by name, their ids end to end."""
+        self.known = dict(zip(names, range(len(names)), strict=True))
+        self.sizes, self.starts, self.pool = sizes, np.cumsum(sizes) - sizes, pool
+
     def _split(self, run: str) -> list[str]:
         if not _PLAIN.fullmatch(run) or "<|" in run and any(t in run for t in self.special):
             return [run]
         return _PIECE.findall(run.lower())
 
-    def _ids(self, runs: list[str]) -> list[bytes]:
-        out = [self.runs.find(r) for r in runs]
-        new = [i for i, x in enumerate(out) if x is None]
-        cut_up = [self._split(runs[i]) for i in new]
-        have: dict[str, bytes] = {}
-        want = {}
-        for p in (p for parts in cut_up for p in parts):
-            if p not in have and p not in want:
-                if (got := self.pieces.find(p)) is None:
-                    want[p] = None
-                else:
-                    have[p] = got
-        want = list(want)
-        for at in range(0, len(want), 20_000):
-            part = want[at : at + 20_000]
-            for p, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                have[p] = array("I", got.ids).tobytes()
-                self.pieces.put(p, have[p])
-        for i, parts in zip(new, cut_up, strict=True):
-            out[i] = have[parts[0]] if len(parts) == 1 else b"".join([have[p] for p in parts])
-            self.runs.put(runs[i], out[i])
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of texts, each by itself."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(map(len, got), np.int64, len(got)), np.array([i for x in got for i in x], np.uint32)
+
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of plain pieces: encoded with spaces between, and told apart by the ids that end a piece."""
+        sizes, pool = [], []
+        for at in range(0, len(pieces), 2_000):
+            part = pieces[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                n, ids = self._each(part)
+            else:
+                n = np.diff(ends, prepend=0)
+            sizes.append(n)
+            pool.append(ids)
+        return np.concatenate(sizes), np.concatenate(pool)
+
+    def _new_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of odd runs."""
+        split = [self._split(r) for r in runs]
+        own = list(dict.fromkeys(p for parts in split for p in parts))
+        sizes, pool = self._each(own)
+        have = dict(zip(own, np.split(pool, np.cumsum(sizes)[:-1]), strict=True))
+        found = [np.concatenate([have[p] for p in parts]) for parts in split]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found)
+
+    def _numbers(self, names: list[str], odd: np.ndarray) -> np.ndarray:
+        """The numbers of different pieces and odd runs among the known ones, to which the new are added.
+
+        Beyond ``entries`` only these ones stay known, so a batch costs no more than what it holds.
+        """
+        out = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        missing = out < 0
+        for which, encode in ((np.flatnonzero(missing & ~odd), self._new), (np.flatnonzero(missing & odd), self._new_runs)):
+            if not which.size:
+                continue
+            own = [names[i] for i in which.tolist()]
+            sizes, ids = encode(own)
+            first = len(self.sizes)
+            self.known.update(zip(own, range(first, first + len(own)), strict=True))
+            self.starts = np.concatenate([self.starts, self.pool.size + np.cumsum(sizes) - sizes])
+            self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
+            out[which] = np.arange(first, first + len(own))
+        if len(self.known) > self.entries:
+            sizes = self.sizes[out]
+            self._keep(names, sizes, self.pool[_ranges(self.starts[out], sizes)])
+            out = np.arange(len(names))
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids end to end, offsets of the texts)."""
-        runs = pc.ascii_split_whitespace(texts)
-        flat = runs.flatten()
-        offsets = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum(pc.list_value_length(runs).fill_null(0).to_numpy(zero_copy_only=False), out=offsets[1:])
-        if not len(flat):
-            return np.zeros(0, np.uint32), offsets
-        coded = flat.dictionary_encode()
+        coded, whole, before = _cut(texts)
+        if not len(coded):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         place = coded.indices.to_numpy(zero_copy_only=False)
-        ids = self._ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        pool = np.frombuffer(b"".join(ids), np.uint32)
-        n = sizes[place]
-        ends = np.cumsum(n)
-        total = int(ends[-1])
-        at = np.repeat(starts[place] - (ends - n), n) + np.arange(total)
-        bounds = np.concatenate([[0], ends])[offsets]
-        return pool[at], bounds
+        odd = np.zeros(len(coded.dictionary), bool)  # no odd run is also a piece of a plain one
+        odd[place[whole]] = True
+        numbers = self._numbers(coded.dictionary.to_pylist(), odd)[place]
+        sizes = self.sizes[numbers]
+        return self.pool[_ranges(self.starts[numbers], sizes)], np.concatenate([[0], np.cumsum(sizes)])[before]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``sizes`` of each, end to end."""
+    out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    out += np.arange(out.size)
+    return out
+
+
+#: Kinds of bytes: white space, letters, digits (pieces by themselves), others, and those no plain run has.
+_WHITE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = _OTHER
+_KIND[[32, *range(9, 14)]] = _WHITE
+_KIND[48:58] = _DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KIND[65:91] = _KIND[97:123] = _LETTER
+
+
+def _cut(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The pieces of all white-space runs, coded; the numbers of those that are whole odd runs; pieces before each text.
+
+    A run is odd if it is not plain or may hold a contraction or a special token: it stays whole and as it is.
+    All others are lower-cased and cut where the kind of character changes and at every digit.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    first, last = (int(bounds[0]), int(bounds[-1])) if len(texts) else (0, 0)
+    if first == last:
+        return pa.array([], pa.string()).dictionary_encode(), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[first:last]
+    bounds = bounds - first
+    kind, low = _KIND[data], _LOWER[data]
+    lead = np.flatnonzero(data == 0xC3)  # of the letters from U+00C0 to U+00FF and two signs
+    if lead.size:
+        then = data[lead + 1]
+        letter = (then != 0x97) & (then != 0xB7)
+        lead, then = lead[letter], then[letter]
+        kind[lead] = kind[lead + 1] = _LETTER
+        low[lead + 1] = np.where(then < 0x9F, then + 0x20, then)
+    ink = kind != _WHITE
+    begin = np.zeros(data.size, bool)  # of texts
+    begin[bounds[:-1][bounds[:-1] < data.size]] = True
+    start = kind == _DIGIT
+    start[0] = True
+    start[1:] |= kind[1:] != kind[:-1]
+    start |= begin
+    start &= ink
+    near = data[1:]
+    odd = np.unique(np.concatenate([np.flatnonzero(kind == _ODD), *(i[on(near[i])] for i, on in ((np.flatnonzero(data[:-1] == 39), lambda x: _KIND[x] == _LETTER), (np.flatnonzero(data[:-1] == 60), lambda x: x == 124)))]))
+    whole = odd[:0]
+    if odd.size:
+        opens = ink.copy()
+        opens[1:] &= begin[1:] | ~ink[:-1]
+        opens = np.flatnonzero(opens)
+        own = np.unique(np.searchsorted(opens, odd, "right") - 1)
+        # a run goes on to the next white space or text
+        stop = np.flatnonzero(begin | ~ink)
+        whole = opens[own]
+        after = np.append(stop, data.size)[np.searchsorted(stop, whole, "right")]
+        size = after - whole
+        inside = _ranges(whole, size)
+        start[inside] = False
+        start[whole] = True
+        low[inside] = data[inside]
+    at = np.flatnonzero(start)
+    before, whole = np.searchsorted(at, bounds), np.searchsorted(at, whole)
+    del at, begin, data, kind
+    low, start = low[ink], np.flatnonzero(start[ink])
+    coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, low.size)), pa.py_buffer(low)).dictionary_encode()
+    return coded, whole, before
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:

@@ -526,6 +526,36 @@ def test_word_encoder_is_the_tokenizer():
             assert ids[bounds[i] : bounds[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_word_encoder_cuts_plain_texts_without_a_step_per_word(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.vocabulary_path())
+    r = random.Random(6)
+    bits = ["The", "Élan", "straße", "x1", "42", "...", "#", "ÿ", "À", "(", "9", "end."]
+    texts = [None, "", *("".join(r.choice(bits) + r.choice(["", " ", "\n"]) for _ in range(r.randrange(60))) for _ in range(300))]
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder = packing.Encoder(packing.vocabulary_path())
+    monkeypatch.setattr(packing.Encoder, "_split", lambda self, run: pytest.fail(f"{run} was taken by itself"))
+    for at, n in ((0, len(texts)), (0, len(texts)), (7, 90), (1, 1)):  # a slice of an array too
+        ids, bounds = encoder.encode(pa.array(texts).slice(at, n))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want[at : at + n]
+
+
+def test_word_encoder_knows_no_more_pieces_than_it_may():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.vocabulary_path())
+    encoder = packing.Encoder(packing.vocabulary_path(), entries=50)
+    r = random.Random(7)
+    for _ in range(30):
+        texts = [" ".join(r.choice(["don't", "日本", "<|x", "".join(r.choices("abcdé", k=3))]) for _ in range(6)) for _ in range(4)]
+        ids, bounds = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.known) == len(encoder.sizes) <= 50
+
+
 def test_packing(spark):
     import zlib
 
