@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, small_batches, table, text_of
+from .common import bucketed, small_batches, table, text_of, trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES = 8 << 20
@@ -49,6 +49,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _kind(path: str) -> str:
+    """The numbers that hold any id; found by the driver, so that only workers that encode load the merges."""
+    return "<u2" if max(load_ranks(path).values()) < 1 << 16 else "<u4"
+
+
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Byte-pair merging: the adjacent pair of lowest rank, leftmost first, until none is in the table."""
     whole = ranks.get(word)
@@ -164,7 +169,7 @@ def blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES,
         if ids:
             yield _block(first + n, pa.concat_arrays(ids), held, buckets)
 
-    return rows.mapInArrow(run, _BLOCK)
+    return rows.mapInArrow(trimmed(run), _BLOCK)
 
 
 def _block(block: int, ids: pa.Array, held: list[pa.Array], buckets: int) -> pa.RecordBatch:
@@ -222,7 +227,6 @@ class Pieces:
 
     def __init__(self, path: str):
         ranks = load_ranks(path)
-        self.top = max(ranks.values())
         try:
             import tiktoken
 
@@ -245,6 +249,8 @@ def _arrow(schema: T.StructType):
 
 def encode_words(asked: DataFrame, path: str) -> DataFrame:
     """block, bucket, ids of its words in order: each distinct word is encoded once for all blocks."""
+    kind = _kind(path)
+    width = np.dtype(kind).itemsize
 
     def spread(batches):
         from relflow.llm.bpe import _strings, _unseal
@@ -261,7 +267,6 @@ def encode_words(asked: DataFrame, path: str) -> DataFrame:
         from relflow.llm.bpe import Pieces
 
         pieces, last, ids = Pieces.of(path), None, b""
-        kind = "<u2" if pieces.top < 1 << 16 else "<u4"
         for batch in batches:
             out = []
             for word in batch.column(3).to_pylist():
@@ -271,9 +276,8 @@ def encode_words(asked: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["block", "bucket", "place", "ids"])
 
     def bundle(batches):
-        from relflow.llm.bpe import Pieces, _planes, _seal
+        from relflow.llm.bpe import _planes, _seal
 
-        width = 2 if Pieces.of(path).top < 1 << 16 else 4
         owner, held = None, []
 
         def sealed():
@@ -294,15 +298,13 @@ def encode_words(asked: DataFrame, path: str) -> DataFrame:
         if held:
             yield sealed()
 
-    words = asked.repartition("bucket").mapInArrow(spread, "block long, bucket int, place int, word string").sortWithinPartitions("word")
-    told = words.mapInArrow(answer, "block long, bucket int, place int, ids binary").sortWithinPartitions("block", "bucket", "place")
-    return told.mapInArrow(bundle, "block long, bucket int, ids binary")
+    words = asked.repartition("bucket").mapInArrow(trimmed(spread), "block long, bucket int, place int, word string").sortWithinPartitions("word")
+    told = words.mapInArrow(trimmed(answer), "block long, bucket int, place int, ids binary").sortWithinPartitions("block", "bucket", "place")
+    return told.mapInArrow(trimmed(bundle), "block long, bucket int, ids binary")
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, tokens (array<int>): every text's ids."""
-    path = path or vocabulary_path()
-    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+def _answered(docs: DataFrame, key: str, text: str, path: str, block_bytes: int) -> DataFrame:
+    """docs, ids: one row per block, its documents and the ids of its words."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(parts, MOST_BUCKETS)  # any number is right, as a bucket is sorted rather than held
     with small_batches(docs.sparkSession):
@@ -310,17 +312,36 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     answers = encode_words(written.filter("bucket >= 0").select("block", "bucket", "words"), path)
     # one row per block, whose size bounds it; the table is laid out by block, so the documents stay where they are
     answers = answers.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "ids"))), lambda x: x["ids"]).alias("ids"))
-    stream = written.filter("bucket < 0").select("block", "docs").join(answers.hint("shuffle_merge"), "block", "left").select("docs", "ids")
+    return written.filter("bucket < 0").select("block", "docs").join(answers.hint("shuffle_merge"), "block", "left").select("docs", "ids")
+
+
+def _reassembling(path: str):
+    """The function from the batches of ``_answered`` to those of doc_id, tokens."""
+    kind = _kind(path)
 
     def run(batches):
-        from relflow.llm.bpe import Pieces, _unseal, reassemble
+        from relflow.llm.bpe import _unseal, reassemble
 
-        kind = "<u2" if Pieces.of(path).top < 1 << 16 else "<u4"
         for batch in batches:
             for docs, ids in zip(*batch.columns, strict=True):
                 yield from reassemble([_unseal(x) for x in ids.as_py() or ()], *_unseal(docs.as_py()), kind)
 
-    return stream.mapInArrow(run, schema)
+    return run
+
+
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, tokens (array<int>): every text's ids."""
+    path = path or vocabulary_path()
+    schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+    return _answered(docs, key, text, path, block_bytes).mapInArrow(trimmed(_reassembling(path)), schema)
+
+
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``decode(encode(docs), digest_only=True)`` in one Python worker a task rather than two: tokens pass between the steps in place."""
+    path = path or vocabulary_path()
+    spark, assemble = docs.sparkSession, _reassembling(path)
+    run, schema = _decoding(token_bytes(spark, path), docs.schema[key].dataType, True)
+    return _answered(docs, key, text, path, block_bytes).mapInArrow(trimmed(lambda batches: run(assemble(batches))), schema)
 
 
 def reassemble(answers: list, ids: pa.Array, counts: bytes, places: bytes, home: bytes, kind: str, step_tokens: int = 400_000):
@@ -359,12 +380,17 @@ def decode(encoded: DataFrame, path: str | None = None, digest_only: bool = Fals
     The token-byte table is broadcast, bounded by the vocabulary, and joined by id a batch of documents
     at a time, in the order of their ids.
     """
-    pairs = (token_bytes(encoded.sparkSession, path) if tokens is None else tokens).toArrow()
+    run, schema = _decoding(token_bytes(encoded.sparkSession, path) if tokens is None else tokens, encoded.schema["doc_id"].dataType, digest_only)
+    return encoded.select("doc_id", "tokens").mapInArrow(trimmed(run), schema)
+
+
+def _decoding(tokens: DataFrame, kind: T.DataType, digest_only: bool):
+    """The function from batches of doc_id (of ``kind``), tokens to those of ``decode``, and their schema."""
+    pairs = tokens.toArrow()
     by_id = [b""] * (1 + max(pairs["token"].to_pylist(), default=-1))
     for i, b in zip(pairs["token"].to_pylist(), pairs["bytes"].to_pylist(), strict=True):
         by_id[i] = b
-    sent = encoded.sparkSession.sparkContext.broadcast(by_id)
-    kind = encoded.schema["doc_id"].dataType
+    sent = tokens.sparkSession.sparkContext.broadcast(by_id)
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digest_only else [T.StructField("decoded", T.BinaryType())]
     schema = T.StructType([T.StructField("doc_id", kind), *fields])
 
@@ -380,8 +406,8 @@ def decode(encoded: DataFrame, path: str | None = None, digest_only: bool = Fals
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, _arrow(schema)[1:], strict=True))], names=schema.names)
 
-    return encoded.select("doc_id", "tokens").mapInArrow(run, schema)
+    return run, schema
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode(encode(table(spark, sf_dir, "documents")), digest_only=True)
+    return round_trip(table(spark, sf_dir, "documents"))

@@ -481,6 +481,16 @@ def test_byte_bpe_is_tiktoken(spark):
     assert bpe.token_bytes(spark).count() == len(ranks)
 
 
+def test_byte_bpe_query_decodes_in_the_worker_that_assembles(spark, tmp_path):
+    frame(spark, EDGE + noise(30, 8)).write.parquet(str(tmp_path / "documents.parquet"))
+    df = bpe.op8_byte_bpe(spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 4  # words apart, encoded, bundled; one for texts
+    want = bpe.decode(bpe.encode(spark.read.parquet(str(tmp_path / "documents.parquet"))), digest_only=True)
+    assert df.schema == want.schema and sorted(df.collect()) == sorted(want.collect()) and df.count() == len(EDGE) + 30
+    empty = bpe.round_trip(frame(spark, ["x"]).limit(0))
+    assert empty.count() == 0
+
+
 def test_byte_bpe_splits_every_stable_character_as_the_pattern(spark):
     import public_tokenizers
     import regex
