@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, table, text_of
+from .common import cut, small_batches, table, text_of, trimmed
 
 CAPACITY = 4096
 END = 1
@@ -253,7 +253,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def spans(texts: pa.Array, most: int = 8 << 20):

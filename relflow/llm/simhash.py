@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import anchored, cut, flagged, join_skewed, numbered, table, text_of
+from .common import anchored, cut, flagged, join_skewed, numbered, small_batches, table, text_of, trimmed
 from .components import components
 
 SEED = 42
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", extra
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def _digest(text: str) -> Column:
@@ -144,7 +144,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, fine: int = FINE) -> Da
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], names=["a", "b"])
 
-    return postings.repartition("posting").sortWithinPartitions("posting", "fp").mapInArrow(_bundled(run), "a long, b long")
+    return postings.repartition("posting").sortWithinPartitions("posting", "fp").mapInArrow(trimmed(_bundled(run)), "a long, b long")
 
 
 def _bundled(run, rows: int = 50_000):
@@ -211,7 +211,8 @@ def _link_posting(fps: np.ndarray, triple: tuple[int, ...], max_bits: int, fine:
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) for every row."""
-    fps = cut(fingerprints(docs, key, text), "fingerprints")
+    with small_batches(docs.sparkSession):
+        fps = cut(fingerprints(docs, key, text), "fingerprints")
     return _with_least(fps, F.col("doc_id"), max_bits).withColumnRenamed("least", "component_id")
 
 
@@ -230,7 +231,8 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     own, key, text = numbered(docs, key, text)
     rows = anchored(own)
     at = (F.col("__file"), F.col("__row"))
-    fps = cut(fingerprints(rows, key, text, (_digest(text).alias("digest"), *at)), "fingerprints")
+    with small_batches(docs.sparkSession):
+        fps = cut(fingerprints(rows, key, text, (_digest(text).alias("digest"), *at)), "fingerprints")
     least = _with_least(fps, F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "digest", *at))
     first = (at[0] == F.col("least.__file")) & (at[1] == F.col("least.__row"))
     return flagged(rows, least.filter(~first)).filter("not __hit").select(*own.columns).toDF(*docs.columns)

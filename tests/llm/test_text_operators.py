@@ -226,6 +226,27 @@ def brute_near(rows):
     return sorted(((i, t) for _, i, t in best.values()), key=repr)
 
 
+def test_near_dedup_hashes_texts_in_small_batches(spark, monkeypatch):
+    seen, name = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(simhash, "cut", lambda df, what: seen.append((what, spark.conf.get(name))) or common.cut(df, what))
+    before, df = spark.conf.get(name), frame(spark, EDGE)
+    assert simhash.classes(df).count() == len(EDGE) and simhash.keep(df).count() > 0
+    assert [size for what, size in seen if what == "fingerprints"] == ["4m"] * 2 and spark.conf.get(name) == before
+
+
+def test_workers_trim_memory_when_batches_end():
+    ended = []
+
+    def run(batches):
+        for b in batches:
+            yield b + 1
+        ended.append(True)
+
+    assert list(common.trimmed(run)(iter([1, 2]))) == [2, 3] and ended == [True]
+    with pytest.raises(ZeroDivisionError):
+        list(common.trimmed(lambda batches: (1 // b for b in batches))(iter([0])))
+
+
 def test_near_dedup_keeps_one_row_whatever_the_ids(spark):
     t = noise(40, 11)
     t = [x + " " + str(n) * 3 for n, x in enumerate(t)]
